@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, quality
+from . import bpe, mixing, quality, warc
 
 QUERIES = {
+    "op3_mixing": mixing.op3_mixing,
     "op6_quality_rules": quality.op6_quality_rules,
     "op8_bpe": bpe.op8_bpe,
+    "op9_warc": warc.op9_warc,
     "quality_ablations": quality.quality_ablations,
 }
 ORACLES = {
     "op6_quality_rules": quality.OP6_SQL,
+    "op9_warc": warc.OP9_SQL,
     "quality_ablations": quality.ABLATION_SQL,
 }
