@@ -4,8 +4,10 @@ Every document of a source starts with the same fractional number of copies, tar
 whole part is sure; the rest is a probability. Two documents with fractional probabilities exchange
 words: a random direction, chosen so that both keep their expectation, moves as much as fits, after
 which one of them is integral. Buckets of a source do this each for itself, their one survivor goes up
-a reduction tree, and the root rounds the last survivor to the nearer whole copy. So the words taken
-from a source differ from its target by at most half of one document.
+a reduction tree, and the root rounds the last survivor to the nearer whole copy. A source's few very
+long documents come first, by falling size; what rounding their survivors adds or takes is handed to all
+smaller documents of the source through their common probability. So the words taken from a source
+differ from its target by half of a short document at most, wherever it has short ones.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from .common import keep, read_table, same, text_key
 
 #: Documents of a source that one task pairs, and survivors that meet in a node of the tree.
 BUCKET, FAN_IN = 4096, 64
+#: Documents with over 1 / HEAVY of their source's words are rounded before the others: under HEAVY a source.
+HEAVY = 512
 WEIGHTS, SHARE, MOST = (5, 2, 1), Fraction(3, 2), 2
 
 
@@ -99,6 +103,26 @@ def _rounding(level: int, last: bool):
     return run
 
 
+def _heavy(group: pd.DataFrame) -> pd.DataFrame:
+    """Rounds the long documents of one source, by powers of two of their size, longest first."""
+    group = group.assign(tie=pd.util.hash_pandas_object(group[["doc_id", "text_key"]], index=False), octave=np.frexp(group["size"].to_numpy(float))[1])
+    group = group.sort_values(["octave", "tie"], ascending=[False, True], kind="stable").reset_index(drop=True)
+    rng = np.random.default_rng([99, *str(group["source"].iloc[0]).encode()])
+    words, goal = int(group["source_size"].iloc[0]), float(group["target"].iloc[0])
+    size, copies = group["size"].to_numpy(float), np.zeros(len(group), "int32")
+    for octave in group["octave"].unique():
+        at = np.flatnonzero(group["octave"].to_numpy() == octave)
+        f = min(max(goal / words, 0.0), float(MOST))
+        p = np.full(len(at), f - math.floor(f))
+        survivor, left = pivot(p, size[at], rng), words - size[at].sum()
+        if survivor >= 0:
+            p[survivor] = float(rng.random() < p[survivor]) if left else round(p[survivor])
+        copies[at] = math.floor(f) + p.astype("int32")
+        goal, words = goal - float((copies[at] * size[at]).sum()), int(left)
+    group["copies"], group["p"] = copies, 0.0
+    return group.drop(columns=["tie", "octave"])
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     """docs: doc_id, text, source. Returns doc_id, source, text_key, size, source_size, target, copies.
 
@@ -110,20 +134,32 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     rows = keep(docs.select("doc_id", "source", text_key(F.col("text")).alias("text_key"), size_of(F.col("text")).alias("size")), "sizes")
     stats = {r.source: (r.words, r.n) for r in rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()}
     goal = targets({s: words for s, (words, _) in stats.items()}, weights, share, most)
-    table = [(s, words, goal[s], math.ceil(n / BUCKET), goal[s] / words if words else 0.0) for s, (words, n) in stats.items()]
-    known = spark.createDataFrame(pd.DataFrame(table, columns=["s", "source_size", "target", "buckets", "f"]), "s string, source_size bigint, target double, buckets int, f double")
-    units = rows.join(known, same(rows["source"], known["s"])).drop("s").select(
-        "doc_id", "source", "text_key", "size", "source_size", "target",
-        F.floor("f").cast("int").alias("copies"), (F.col("f") - F.floor("f")).alias("p"),
-        F.pmod(F.xxhash64(F.lit(17), "doc_id", "text_key"), F.col("buckets")).cast("int").alias("bucket"),
-    )
-    schema, level, most_buckets, done = units.schema, 0, max((b for *_, b, _ in table), default=0), None
+
+    def with_source(df: DataFrame, table: list[tuple]) -> DataFrame:
+        known = spark.createDataFrame(pd.DataFrame(table, columns=["s", "source_size", "target", "buckets", "f"]), "s string, source_size bigint, target double, buckets int, f double")
+        return df.join(known, same(df["source"], known["s"])).select(
+            "doc_id", "source", "text_key", "size", "source_size", "target",
+            F.floor("f").cast("int").alias("copies"), (F.col("f") - F.floor("f")).alias("p"),
+            F.pmod(F.xxhash64(F.lit(17), "doc_id", "text_key"), F.col("buckets")).cast("int").alias("bucket"),
+        )
+
+    rows = with_source(rows, [(s, words, goal[s], max(1, math.ceil(n / BUCKET)), 0.0) for s, (words, n) in stats.items()])
+    is_heavy = F.col("size") * HEAVY > F.col("source_size")
+    heavy = keep(rows.where(is_heavy).groupBy("source").applyInPandas(_heavy, rows.schema), "heavy")
+    spent = {r.source: (r.words, r.taken, r.n) for r in heavy.groupBy("source").agg(F.sum("size").alias("words"), F.sum(F.col("copies") * F.col("size")).alias("taken"), F.count("*").alias("n")).collect()}
+    table = []
+    for s, (words, n) in stats.items():
+        long, taken, n_long = spent.get(s, (0, 0, 0))
+        f = (goal[s] - taken) / (words - long) if words > long else 0.0
+        table.append((s, words, goal[s], max(1, math.ceil((n - n_long) / BUCKET)), min(max(f, 0.0), float(most))))
+    units = with_source(rows.where(~is_heavy).select("doc_id", "source", "text_key", "size"), table)
+    schema, level, most_buckets, done = units.schema, 0, max((row[3] for row in table), default=0), heavy
     while True:
         last = most_buckets <= 1
 
         out = keep(units.groupBy("source", "bucket").applyInPandas(_rounding(level, last), schema), f"mix{level}")
         settled = out if last else out.where("p = 0")
-        done = settled if done is None else done.unionByName(settled)
+        done = done.unionByName(settled)
         if last:
             return done.drop("p", "bucket")
         units = out.where("p > 0").withColumn("bucket", F.floor(F.col("bucket") / FAN_IN).cast("int"))
