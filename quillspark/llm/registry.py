@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality, warc
+from . import bpe, mixing, quality, substrings, warc
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
+    "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
     "op8_bpe": bpe.op8_bpe,
     "op9_warc": warc.op9_warc,
