@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality, substrings, warc
+from . import bpe, mixing, neardup, quality, substrings, warc
 
 QUERIES = {
+    "op2_minhash_neardup": neardup.op2_minhash_neardup,
     "op3_mixing": mixing.op3_mixing,
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
