@@ -6,10 +6,12 @@ suffixes that start at an anchor and share its prefix hold every repeat, and a p
 in the corpus holds none: its suffixes are dropped before any text moves. The others meet by prefix.
 A group that fits a task gets a suffix tree (sorted suffixes, common prefixes of neighbours); inner nodes
 of `WINDOW` words or more are the repeats. In a larger group the prefix grows to the whole window, where
-suffixes under one prefix are all equal, so counting them is all that is left of the tree.
+suffixes under one prefix are all equal, so counting them is all that is left of the tree: first of blocks
+of neighbouring windows, then of the windows in blocks that occur once.
 
 Steps: (1) anchors of all texts; (2) count prefixes, keep repeated ones; (3) cut the words around their
-anchors; (4) trees and counts; (5) per document, the words that repeated windows cover.
+anchors; (4) trees and counts; (5) per document, the words that repeated windows cover. Of texts that are
+equal as a whole only one goes through steps 3 and 4.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from .common import arrow, keep, prepare, read_table, same
 WINDOW, PREFIX = 35, 8
 #: Anchored suffixes of a prefix that one tree takes: some MB. Beyond, the prefix grows to a window.
 TREE = 2048
+#: Neighbouring windows that are counted as one where a prefix is frequent.
+NEIGHBOURS = 7
 #: Windows of a text that are looked at together.
 BLOCK = 1 << 22
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -74,8 +78,9 @@ def sequence_hashes(h: np.ndarray, n: int) -> np.ndarray:
         power = mixed(power[:m] * _MULT + power[step // 2 : step // 2 + m])
 
 
-def anchors(words: list[bytes], window: int, prefix: int) -> list[tuple[int, int, int]]:
-    """(prefix hash, first window, number of windows) of each run of windows that share an anchor.
+def anchors(words: list[bytes], window: int, prefix: int) -> list[tuple[int, int, int, int]]:
+    """(prefix hash, first window, number of windows, words from there to the anchor) of each run of windows
+    that share an anchor.
 
     Of equally low prefixes in a window the leftmost is the anchor, so equal windows never share one.
     """
@@ -94,7 +99,8 @@ def anchors(words: list[bytes], window: int, prefix: int) -> list[tuple[int, int
         least = np.minimum(least[:n], least[inside - step : inside - step + n]) & np.uint64((1 << 24) - 1)
         runs = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
         ends = np.r_[runs[1:], n]
-        out += zip(part[least[runs].astype(np.int64)].view(np.int64).tolist(), (runs + at).tolist(), (ends - runs).tolist())
+        places = least[runs].astype(np.int64)
+        out += zip(part[places].view(np.int64).tolist(), (runs + at).tolist(), (ends - runs).tolist(), (places - runs).tolist())
     return out
 
 
@@ -155,7 +161,7 @@ def _runs(places: list[int]) -> Iterator[tuple[int, int]]:
 def covered(n_words: int, runs: Iterable[tuple[int, int]], window: int) -> np.ndarray:
     """Which words the windows of the runs (first, number) cover."""
     change = np.zeros(n_words + 1, np.int32)
-    for first, n in runs:
+    for first, n in runs if n_words >= window else ():
         change[first] += 1
         change[min(n_words, first + n - 1 + window)] -= 1
     return np.cumsum(change[:-1]) > 0
@@ -175,48 +181,85 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("key"), text.alias("text"))
 
 
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _counted(words: list[bytes], marks: list[dict], window: int) -> tuple[list[tuple], list[tuple[int, int]]]:
+    """Blocks (digest, first, n, digests of the windows, weight) of the runs under frequent prefixes, and
+    the runs (first, n) known to repeat as they occur twice in this text; such a block goes out once,
+    without a place, to be found by others. Blocks are cut at equal distances from the anchor."""
+    blocks: dict[bytes, list[tuple[int, int]]] = {}
+    for a in marks:
+        end, last = a["f"] + a["n"], a["f"] + a["p"]
+        f = a["f"]
+        while f < end:
+            n = min(end - f, (last - f) % NEIGHBOURS + 1)
+            blocks.setdefault(_digest(words[f : f + n + window - 1]), []).append((f, n))
+            f += n
+    out, known = [], set()
+    for digest, places in blocks.items():
+        f, n = places[0]
+        windows = b"".join(_digest(words[i : i + window]) for i in range(f, f + n))
+        if len(places) > 1:
+            known.update(i for f, n in places for i in range(f, f + n))
+            out.append((digest, None, n, windows, 2))
+        else:
+            out.append((digest, f, n, windows, 1))
+    return out, [*_runs(sorted(known))] if known else []
+
+
+def twins(docs: DataFrame) -> DataFrame:
+    """doc_id, key, first: rows whose whole text occurs in another row; first: whether it is of the least doc_id."""
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("h"))
+    groups = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("doc_id").alias("least")).where("c > 1").withColumnRenamed("h", "h2")
+    return rows.join(groups, F.col("h") == F.col("h2")).select("doc_id", "key", same(F.col("doc_id"), F.col("least")).alias("first"))
+
+
 def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, tree: int = TREE) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, key, runs: array<struct<first, n>> of repeated windows.
 
-    Windows are compared word by word, in trees, or by 128 bits of their words where counted. Rows that
-    repeat id and text are separate documents, so all their windows repeat, and share one row here.
-    Documents without repeats have no row; null texts and texts of under `window` words have no windows.
+    Windows are compared word by word, in trees, or by 128 bits of their words where counted, texts by 128
+    bits. Rows that repeat id and text are separate documents, so all their windows repeat, and share
+    one row here. Documents without repeats have no row; null texts and texts of under `window` words have
+    no windows, though the run of a text that occurs twice may say so of all it has.
     """
     prepare(docs.sparkSession)
-    found = _identified(docs)
-    mark = _schema(k=pa.int64(), f=pa.int32(), n=pa.int32())
+    found, twin = _identified(docs), keep(twins(docs), "twins")
+    mark = _schema(k=pa.int64(), f=pa.int32(), n=pa.int32(), p=pa.int32())
 
     def mark_texts(texts: pa.Array) -> pa.Array:
-        made = [[dict(zip("kfn", x)) for x in anchors((t or b"").split(), window, prefix)] for t in texts.cast(pa.binary()).to_pylist()]
+        made = [[dict(zip("kfnp", x)) for x in anchors((t or b"").split(), window, prefix)] for t in texts.cast(pa.binary()).to_pylist()]
         return pa.array(made, pa.list_(pa.struct(mark)))
 
-    marks = arrow(mark_texts, "array<struct<k:bigint,f:int,n:int>>")
+    marks = arrow(mark_texts, "array<struct<k:bigint,f:int,n:int,p:int>>")
     marks = keep(found.select("doc_id", "key", F.explode(marks(F.col("text"))).alias("a")).select("doc_id", "key", "a.*"), "anchors")
     counts = marks.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").withColumnRenamed("k", "k2")
-    wanted = marks.join(counts, F.col("k") == F.col("k2")).select("doc_id", "key", F.struct("k", "f", "n", (F.col("c") > tree).alias("big")).alias("a"))
-    wanted = wanted.groupBy(F.col("doc_id").alias("id2"), F.col("key").alias("key2")).agg(F.collect_list("a").alias("marks"))
-    with_text = found.join(wanted, (found["key"] == wanted["key2"]) & same(found["doc_id"], wanted["id2"])).select("doc_id", "key", "text", F.array_distinct("marks").alias("marks"))
-
-    def cut(big: bool, schema: pa.Schema):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows: list[tuple] = []
-                for doc, key, text, todo in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
-                    todo = [a for a in todo if a["big"] == big]
-                    words = text.split() if todo else []
-                    for a in todo:
-                        if big:  # the prefix is the window: 128 bits of its words stand for it
-                            rows += ((hashlib.blake2b(b" ".join(words[f : f + window]), digest_size=16).digest(), doc, key, f, 1) for f in range(a["f"], a["f"] + a["n"]))
-                        else:
-                            rows.append((a["k"], doc, key, a["f"], a["n"], b" ".join(words[a["f"] : a["f"] + a["n"] + window - 1])))
-                    if len(rows) > 4000:
-                        yield _batch(rows, schema)
-                        rows = []
-                yield _batch(rows, schema)
-
-        return run
+    wanted = marks.join(counts.hint("shuffle_hash"), F.col("k") == F.col("k2")).select("doc_id", "key", F.struct("k", "f", "n", "p", (F.col("c") > tree).alias("big")).alias("a"))
+    wanted = wanted.groupBy(F.col("doc_id").alias("id2"), F.col("key").alias("key2")).agg(F.collect_set("a").alias("marks"))
+    later = twin.where("not first").select(F.col("doc_id").alias("id3"), F.col("key").alias("key3")).distinct()
+    wanted = wanted.join(later.hint("shuffle_hash"), (F.col("key2") == F.col("key3")) & same(F.col("id2"), F.col("id3")), "left_anti")
+    with_text = found.join(wanted.hint("shuffle_hash"), (found["key"] == wanted["key2"]) & same(found["doc_id"], wanted["id2"])).select("doc_id", "key", "text", "marks")
 
     place = {"doc_id": pa.int64(), "key": pa.int64(), "first": pa.int32(), "n": pa.int32()}
+    # kind: t a suffix for a tree, b a block to count, r a run that is known to repeat
+    cut_schema = _schema(kind=pa.string(), **place, k=pa.int64(), words=pa.binary(), windows=pa.binary(), weight=pa.int32())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, key, text, todo in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
+                words = text.split()
+                rows += (("t", doc, key, a["f"], a["n"], a["k"], b" ".join(words[a["f"] : a["f"] + a["n"] + window - 1]), None, 1) for a in todo if not a["big"])
+                blocks, known = _counted(words, [a for a in todo if a["big"]], window)
+                rows += (("b", doc, key, f, n, None, digest, windows, w) for digest, f, n, windows, w in blocks)
+                rows += (("r", doc, key, f, n, None, None, None, 1) for f, n in known)
+                if len(rows) > 4000:
+                    yield _batch(rows, cut_schema)
+                    rows = []
+            yield _batch(rows, cut_schema)
+
+    pieces = keep(with_text.mapInArrow(cut, "kind string, doc_id bigint, key bigint, first int, n int, k bigint, words binary, windows binary, weight int"), "pieces")
     run_schema = _schema(**place)
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,24 +276,33 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, tree: i
         out += ((*d, f, c) for d, f, c in group_repeats(group, window))
         yield _batch(out, run_schema)
 
-    ddl = "doc_id bigint, key bigint, first int, n int"
-    small = with_text.mapInArrow(cut(False, _schema(k=pa.int64(), **place, words=pa.binary())), f"k bigint, {ddl}, words binary")
-    by_tree = small.repartition("k").sortWithinPartitions("k").mapInArrow(trees, ddl)
-    big = with_text.mapInArrow(cut(True, _schema(words=pa.binary(), **place)), f"words binary, {ddl}")
-    often = big.groupBy("words").agg(F.count("*").alias("c")).where("c > 1").select(F.col("words").alias("of"))
-    by_count = big.join(often, F.col("words") == F.col("of")).select("doc_id", "key", "first", "n")
-    return by_tree.unionByName(by_count).groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
+    run = ("doc_id", "key", "first", "n")
+    by_tree = pieces.where("kind = 't'").select("k", *run, "words").repartition("k").sortWithinPartitions("k").mapInArrow(trees, "doc_id bigint, key bigint, first int, n int")
+    # blocks that occur again repeat as a whole; the windows of others are looked up one by one
+    blocks = pieces.where("kind = 'b'").select(*run, "words", "windows", "weight")
+    often = blocks.groupBy("words").agg(F.sum("weight").alias("c"), F.first("windows").alias("w")).where("c > 1")
+    often = keep(often.select(F.col("words").alias("of"), "w"), "blocks")
+    whole = blocks.where("first is not null").join(often.select("of"), F.col("words") == F.col("of")).select(*run)
+    alone = blocks.where("first is not null").join(often.select("of"), F.col("words") == F.col("of"), "left_anti")
+    each = lambda c: F.posexplode(F.transform(F.sequence(F.lit(0), (F.octet_length(c) / 16).cast("int") - 1), lambda i: F.substring(c, i * 16 + 1, F.lit(16)))).alias("i", "h")
+    windows = alone.select("doc_id", "key", (F.col("first")).alias("f"), each(F.col("windows"))).select("doc_id", "key", (F.col("f") + F.col("i")).alias("first"), F.lit(1).alias("n"), "h")
+    again = windows.select("h", F.lit(1).alias("c")).unionByName(often.select(each(F.col("w"))).select("h", F.lit(2).alias("c"))).groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select(F.col("h").alias("of"))
+    single = windows.join(again, F.col("h") == F.col("of")).select(*run)
+    known = pieces.where("kind = 'r'").select(*run)
+    equal = twin.select("doc_id", "key", F.lit(0).alias("first"), F.lit(1 << 29).alias("n"))
+    every = by_tree.unionByName(whole).unionByName(single).unionByName(known).unionByName(equal)
+    return every.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, text: bool = True, **how) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text.
 
     Every word that a repeated window covers is gone; the others are joined by one blank. One row per row
-    of docs. Texts meet their runs, and before that their anchors, in the same exchange of the texts.
+    of docs. Null texts have no words; an empty table stays empty.
     """
     runs = repeats(docs, window, **how).select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), "runs")
     rows = _identified(docs)
-    rows = rows.join(runs, (rows["key"] == runs["_k"]) & same(rows["doc_id"], runs["_id"]), "left")
+    rows = rows.join(runs.hint("shuffle_hash"), (rows["key"] == runs["_k"]) & same(rows["doc_id"], runs["_id"]), "left")
     names = ["n_words", "n_removed", "kept_sha256", "kept_text"][: 3 + text]
 
     def cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
