@@ -35,21 +35,10 @@ NEIGHBOURS = 7
 #: Windows of a text that are looked at together.
 BLOCK = 1 << 22
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-#: Distinct words whose hashes a worker remembers.
-_HASHES: dict[bytes, int] = {}
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_HASHES) > 1_000_000:
-        _HASHES.clear()
-    get, make = _HASHES.get, xxhash.xxh3_64_intdigest
-    out = np.empty(len(words), np.uint64)
-    for i, word in enumerate(words):
-        h = get(word)
-        if h is None:
-            h = _HASHES[word] = make(word)
-        out[i] = h
-    return out
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
