@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, prepare, read_table
+from .common import arrow, prepare, read_table, stage_of
 
 #: Encoded words that a Python worker remembers; the memory is emptied beyond that.
 REMEMBERED = 1_000_000
@@ -217,6 +217,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "_bpe.*")
 
 
+@stage_of("text")
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with the digest columns of their encoding."""
     return encoded(docs).select("*", "_bpe.*").drop("_bpe")

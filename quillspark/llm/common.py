@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
 
@@ -69,6 +70,29 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
+def stage_of(*used: str):
+    """Makes a stage of a function (spark, docs, sf_dir) that needs only the columns `used`.
+
+    All other columns, whatever they are called, travel in one struct and come back as they were and in
+    their order; columns that the stage adds stand at the end, in place of any of the same name.
+    """
+
+    def wrap(function):
+        @functools.wraps(function)
+        def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            names = docs.columns
+            quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in names}
+            rest = [quoted[c].alias(f"c{i}") for i, c in enumerate(names) if c not in used]
+            out = function(spark, docs.select(*used, F.struct(F.lit(0).alias("z"), *rest).alias("_rest")), sf_dir)
+            new = [c for c in out.columns if c not in (*used, "_rest")]
+            back = [F.col(c) if c in used else F.col(f"_rest.c{i}").alias(c) for i, c in enumerate(names) if c not in new]
+            return out.select(*back, *new)
+
+        return stage
+
+    return wrap
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges(u, v) by alternating large-star and small-star steps.
 

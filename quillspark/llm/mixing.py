@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keep, read_table, same, text_key
+from .common import keep, read_table, same, stage_of, text_key
 
 #: Documents of a source that one task pairs, and survivors that meet in a node of the tree.
 BUCKET, FAN_IN = 4096, 64
@@ -171,6 +171,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+@stage_of("doc_id", "text", "source")
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs, each row as often as the mix takes it. Equal rows share their copies evenly."""
     taken = mix(docs).groupBy("doc_id", "source", "text_key").agg(F.sum("copies").alias("_c"), F.count("*").alias("_n"))

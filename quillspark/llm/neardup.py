@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow, components, keep, prepare, read_table, same
+from .common import arrow, components, keep, prepare, read_table, same, stage_of
 from .substrings import sequence_hashes, word_hashes
 
 SHINGLE, LEAST = 5, 0.8
@@ -291,6 +291,7 @@ def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+@stage_of("doc_id", "text")
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class: the one with its least doc_id."""
     kept = classes(docs).where("h = kept_h and doc_id <=> class_id").groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.count("*").alias("_n"))

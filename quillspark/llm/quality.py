@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, prepare, read_table
+from .common import arrow, prepare, read_table, stage_of
 
 MEASURES = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_lines:bigint,n_repeat_words:bigint,n_upper_words:bigint>"
 #: (rule, SQL over the measurements); a rule's bit is its place. Integers only: every engine agrees.
@@ -124,6 +124,7 @@ def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ablations(ledger(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+@stage_of("text")
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy keeps."""
     return ledger(docs).where(passes(CURRENT)).drop("_m", "_bits")
