@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from .common import keep, read_table
 
 #: Rows the tree is fitted on; branches of a node; rows of a leaf aimed at, and leaves, at most.
-SAMPLE, BRANCHES, LEAF, LEAVES = 20_000, 8, 256, 4096
+SAMPLE, BRANCHES, LEAF, LEAVES = 20_000, 8, 64, 4096
 #: Queries that calibrate the visits; the recall they must reach.
-PROBES, RECALL = 128, 0.97
-#: Rows of a leaf that one task holds beside the queries that visit it.
-CHUNK = 8192
+PROBES, RECALL = 128, 0.95
+#: Rows that one task holds while the queries that visit their leaves stream by.
+GROUP = 16_384
 K = 20
 
 
@@ -100,14 +100,19 @@ def scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x * q).sum(1)
 
 
-def best(ids: np.ndarray, x: np.ndarray, q: np.ndarray, own: int, k: int) -> list[tuple[int, float]]:
-    """The k rows with the largest inner products, ties to the smaller id, without the query's own."""
-    rough = x @ q
+def best(parts: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, own: int, k: int) -> list[tuple[int, float]]:
+    """Of parts (ids, rows), the k rows with the largest inner products, ties to the smaller id, without the
+    query's own."""
+    ids = np.concatenate([p[0] for p in parts])
+    rough = np.concatenate([p[1] @ q for p in parts])
     at = np.flatnonzero(ids != own)
     if len(at) > k:
         edge = np.partition(rough[at], len(at) - k)[len(at) - k]
         at = at[rough[at] >= edge - 1e-9 * max(1.0, abs(edge))]
-    exact = scores(x[at], q)
+    ends = np.cumsum([len(p[0]) for p in parts])
+    part = np.searchsorted(ends, at, side="right")
+    x = np.array([parts[i][1][j - ends[i] + len(parts[i][0])] for i, j in zip(part.tolist(), at.tolist())]).reshape(len(at), len(q))
+    exact = scores(x, q)
     order = np.lexsort((ids[at], -exact))[:k]
     return list(zip(ids[at][order].tolist(), exact[order].tolist()))
 
@@ -136,7 +141,7 @@ def exact_search(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            out = [(q, *r) for q, v in zip(found.value[0].tolist(), found.value[1]) for r in best(own, x, v, q, k)]
+            out = [(q, *r) for q, v in zip(found.value[0].tolist(), found.value[1]) for r in best([(own, x)], v, q, k)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*zip(*out)] or [()] * 3, schema)], schema=schema)
 
     merged = rows.mapInArrow(run, "query_id bigint, vec_id bigint, score double").groupBy("query_id").agg(_top(k).alias("t"))
@@ -188,46 +193,64 @@ def search(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
         need.sort()
         visits = need[min(len(need) - 1, math.ceil(RECALL * len(need)) - 1)] if need else 1
 
+    # neighbouring leaves share a group; a leaf with very many rows, equal ones perhaps, has several
+    sizes = {r.leaf: r.n for r in rows.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # LEAVES of them
+    groups, last, room = {}, -1, 0
+    for leaf in range(tree.leaves):
+        size = sizes.get(leaf, 0)
+        if size > GROUP:
+            groups[leaf] = (last + 1, math.ceil(size / GROUP))
+            last, room = last + groups[leaf][1], 0
+            continue
+        if size > room:
+            last, room = last + 1, GROUP
+        groups[leaf], room = (max(last, 0), 1), room - size
+    dealt = spark.sparkContext.broadcast(groups)
+
     def visiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q = _matrix(batch.column(1))
-            for i in range(0, batch.num_rows, 64):
-                out = [(j, leaf) for j in range(i, min(i + 64, batch.num_rows)) for leaf in index.value.visit(np.r_[q[j], 0.0], visits)]
-                at = pa.array([j for j, _ in out], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([leaf for _, leaf in out], pa.int32())], names=["vec_id", "x", "leaf"])
-
-    # a leaf with very many rows, equal ones perhaps, is dealt in chunks, and its queries to each of them
-    sizes = rows.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))  # LEAVES rows
-    sizes = F.broadcast(sizes)
-    members = rows.join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"), "vec_id", "x")
-    asked = queries.mapInArrow(visiting, "vec_id bigint, x array<double>, leaf int").join(sizes, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(2).alias("role"), "vec_id", "x")
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+            at, group, leaves = [], [], []
+            for j, v in enumerate(_matrix(batch.column(1))):
+                asked: dict[int, list[int]] = {}
+                for leaf in index.value.visit(np.r_[v, 0.0], visits):
+                    first, chunks = dealt.value[leaf]
+                    for g in range(first, first + chunks):
+                        asked.setdefault(g, []).append(leaf)
+                at += [j] * len(asked)
+                group += asked
+                leaves += asked.values()
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), batch.column(0).take(take), batch.column(1).take(take), pa.array(leaves, pa.list_(pa.int32()))], names=["g", "vec_id", "x", "leaves"])
+
+    place = F.broadcast(spark.createDataFrame([(leaf, *p) for leaf, p in groups.items()], "leaf int, f int, c int"))  # LEAVES rows
+    members = rows.join(place, "leaf").select((F.col("f") + F.pmod(F.xxhash64("vec_id"), F.col("c")).cast("int")).alias("g"), F.lit(1).alias("role"), "leaf", "vec_id", "x", F.lit(None).cast("array<int>").alias("leaves"))
+    asked = queries.select("vec_id", "x").mapInArrow(visiting, "g int, vec_id bigint, x array<double>, leaves array<int>").select("g", F.lit(2).alias("role"), F.lit(-1).alias("leaf"), "vec_id", "x", "leaves")
+    schema = pa.schema([("query_id", pa.int64()), ("found", pa.list_(pa.struct([("s", pa.float64()), ("vec_id", pa.int64())])))])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, parts, data = None, [], [], None
+        at, held, data = None, [], {}
         for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
-            vec, x = batch.column(3).to_numpy(), _matrix(batch.column(4))
-            ends = [*(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)] if len(keys) else []
-            start, out = 0, []
-            for end in ends:
-                leaf, chunk, role = keys[start].tolist()
-                if (leaf, chunk) != at:
-                    at, ids, parts, data = (leaf, chunk), [], [], None
-                if role == 1:
-                    ids.append(vec[start:end])
-                    parts.append(x[start:end])
-                elif ids:
-                    if data is None:
-                        data = np.concatenate(ids), np.concatenate(parts)
-                    for j in range(start, end):
-                        out += ((int(vec[j]), *r) for r in best(*data, x[j], int(vec[j]), k))
-                start = end
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*zip(*out)] or [()] * 3, schema)], schema=schema)
-
-    order = ("leaf", "chunk", "role")
-    met = members.unionByName(asked).repartition("leaf", "chunk").sortWithinPartitions(*order).mapInArrow(answer, "query_id bigint, vec_id bigint, score double")
-    top = met.groupBy("query_id").agg(_top(k).alias("t")).select("query_id", F.posexplode("t").alias("i", "r"))
+            g, role, leaf, vec = (batch.column(i).to_numpy() for i in range(4))
+            x, wanted, out = _matrix(batch.column(4)), batch.column(5), []
+            cuts = [0, *(np.flatnonzero((np.diff(g) != 0) | (np.diff(role) != 0) | (np.diff(leaf) != 0)) + 1).tolist(), len(g)]
+            for a, b in zip(cuts, cuts[1:]) if len(g) else ():
+                if g[a] != at:
+                    at, held, data = g[a], [], {}
+                if role[a] == 1:
+                    held.append((int(leaf[a]), vec[a:b], x[a:b]))
+                    continue
+                if held:
+                    for i in {h[0] for h in held}:
+                        data[i] = np.concatenate([h[1] for h in held if h[0] == i]), np.concatenate([h[2] for h in held if h[0] == i])
+                    held = []
+                for j in range(a, b):
+                    parts = [data[i] for i in wanted[j].as_py() if i in data]
+                    if parts:
+                        out.append((int(vec[j]), [{"s": -s, "vec_id": v} for v, s in best(parts, x[j], int(vec[j]), k)]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*zip(*out)] or [()] * 2, schema)], schema=schema)
+
+    met = members.unionByName(asked).repartition("g").sortWithinPartitions("g", "role", "leaf").mapInArrow(answer, "query_id bigint, found array<struct<s:double,vec_id:bigint>>")
+    top = met.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("t")).select("query_id", F.posexplode("t").alias("i", "r"))
     return top.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("r.vec_id").alias("vec_id"), (-F.col("r.s")).alias("score"))
 
 
