@@ -18,6 +18,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body and its lambdas refer to it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def trimmed(c: Column | str) -> Column:
     """Without any Unicode white space at the ends; Spark's trim takes blanks only."""
     return F.regexp_replace(col(c), r"(?U)^\s+|(?U)\s+$", "")
@@ -111,10 +116,12 @@ def numbers(c: Column | str) -> Column:
 
 def removed_once(have: Column, gone: Column) -> Column:
     """The values of one array, in order, that the other doesn't hold as often: a multiset difference."""
-    def step(i: Column) -> Column:
-        x = have[i]
-        before = F.size(F.filter(F.slice(have, F.lit(1), i + 1), lambda y: y == x))
-        return F.struct(x.alias("x"), (before > F.size(F.filter(gone, lambda y: y == x))).alias("m"))
 
-    steps = F.transform(F.sequence(F.lit(0), F.size(have) - 1), step)
-    return F.when(F.size(have) > 0, F.transform(F.filter(steps, lambda s: s["m"]), lambda s: s["x"])).otherwise(F.array().cast("array<string>"))
+    def kept(v: Column) -> Column:
+        def step(x: Column, i: Column) -> Column:
+            before = F.size(F.filter(F.slice(v["a"], F.lit(1), i + 1), lambda y: y == x))
+            return F.when(before > F.size(F.filter(v["b"], lambda y: y == x)), x)
+
+        return F.filter(F.transform(v["a"], step), lambda x: x.isNotNull())
+
+    return let(F.struct(have.alias("a"), gone.alias("b")), kept)
