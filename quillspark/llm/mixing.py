@@ -25,6 +25,8 @@ from .common import keep, read_table, same, stage_of, text_key
 
 #: Documents of a source that one task pairs, and survivors that meet in a node of the tree.
 BUCKET, FAN_IN = 4096, 64
+#: Sources up to which their table is broadcast.
+CATALOGUE = 100_000
 #: Documents with over 1 / HEAVY of their source's words are rounded before the others: under HEAVY a source.
 HEAVY = 512
 WEIGHTS, SHARE, MOST = (5, 2, 1), Fraction(3, 2), 2
@@ -137,6 +139,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
 
     def with_source(df: DataFrame, table: list[tuple]) -> DataFrame:
         known = spark.createDataFrame(pd.DataFrame(table, columns=["s", "source_size", "target", "buckets", "f"]), "s string, source_size bigint, target double, buckets int, f double")
+        if len(table) <= CATALOGUE:  # else the adaptive skew join parts a large source
+            known = F.broadcast(known)
         return df.join(known, same(df["source"], known["s"])).select(
             "doc_id", "source", "text_key", "size", "source_size", "target",
             F.floor("f").cast("int").alias("copies"), (F.col("f") - F.floor("f")).alias("p"),
