@@ -111,7 +111,7 @@ def entry_name_error(name: Column) -> Column:
     """Why an archive entry's name is refused; null if it is safe."""
     parts = F.filter(F.split(name, "/"), lambda x: (x != "") & (x != "."))
     depth = F.aggregate(parts, F.struct(F.lit(0).alias("d"), F.lit(0).alias("low")), lambda a, x: let(a["d"] + F.when(x == "..", -1).otherwise(1), lambda d: F.struct(d.cast("int").alias("d"), F.least(a["low"], d).cast("int").alias("low"))))
-    return F.when(name == "", "empty name").when(F.contains(name, F.lit("\\")) | F.contains(name, F.lit("\0")), "forbidden character").when(name.startswith("/") | name.rlike("^[A-Za-z]:"), "absolute path").when((depth["low"] < 0) | (F.size(parts) == 0), "path escapes the archive")
+    return F.when(name == "", "empty name").when(F.contains(name, F.lit("\\")) | F.contains(name, F.lit("\0")), "forbidden character").when(name.startswith("/") | name.rlike("^[A-Za-z]:"), "absolute path").when((depth["low"] < 0) | (depth["d"] < 1), "path escapes the archive")
 
 
 def archive_violations(entries: DataFrame) -> DataFrame:
