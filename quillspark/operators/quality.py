@@ -32,7 +32,7 @@ def is_identical(source: Column, target: Column) -> Column:
 
 
 def is_untouched_script(source: Column, target: Column) -> Column:
-    both = (dominant_script(target) == "cjk") & (dominant_script(source) == "cjk")
+    both = target.rlike(CJK) & (dominant_script(target) == "cjk") & (dominant_script(source) == "cjk")
     return both & (~target.rlike(f"{CYRILLIC}|{LATIN}") | (F.length(target) * expected_expansion(target) >= IDENTICAL))
 
 
@@ -51,7 +51,8 @@ def missing_numbers(source: Column, target: Column) -> Column:
     plain = F.when(dominant_script(source) == "latin", F.regexp_replace(source, r"(?<![\p{L}\p{N}])1(?=\s+\p{L})", "I")).otherwise(source)
     gone = removed_once(numbers(plain), numbers(target))
     year = lambda v: (F.length(v) == F.lit(2)) & F.regexp_like(target, F.concat(F.lit(r"(?<![0-9])(?:19|20)"), v, F.lit("(?![0-9])")))
-    return F.filter(gone, lambda v: ~year(v))
+    # most texts hold no digit at all: they are done with one look
+    return F.when(source.rlike("[0-9₀-₉]"), F.filter(gone, lambda v: ~year(v))).otherwise(F.array().cast("array<string>"))
 
 
 def residue(source: Column, target: Column, language: str | None) -> Column:
