@@ -4,18 +4,19 @@ Shingles are five consecutive words, weighted by tf * idf. The idf is damped to
 1 + ln(N / df) / ln(N), with document frequencies over all documents counted in DF_BUCKETS hashed
 counters, so that frequent passages weigh less but copies of a large group still look alike. Weighted
 samples of a document are hashed in bands; documents of a bucket are compared with its leader by their
-sketches, those unlike it with each other, and every pair so found is verified by the exact weighted
-Jaccard similarity of the whole texts. Classes are the connected components of verified pairs.
+sketches, then each with the one of another class that it resembles most, then all that are still in
+different classes with each other. Every pair so found is verified by the exact weighted Jaccard similarity
+of the whole texts. Classes are the connected components of verified pairs.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,8 +30,8 @@ BANDS, ROWS = 14, 3
 DF_BUCKETS = 1 << 18
 #: Of the sketch's places, how many must agree for a pair to be verified: four deviations below 0.8.
 SKETCH_LEAST = 0.55
-#: Members that meet one copy of their leader; documents of a bucket that are compared all with all.
-MEET, BLOCK = 256, 1024
+#: Members that meet one copy of their leader; documents of a bucket that a task compares with as many others.
+MEET, BLOCK = 256, 512
 
 
 def shingles(text: bytes, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -155,73 +156,162 @@ def _agree(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
     return (sketches == one).mean(-1)
 
 
-def _bucket_pairs(nodes: list[bytes], sketches: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
-    """Each node with the earliest node that resembles it, and the one that does most.
-
-    Blocks are compared all with all; leaders, nodes like no earlier one, go on to the following blocks.
-    """
-    leaders = np.empty(0, np.int64)
-    for start in range(0, len(nodes), BLOCK):
-        fresh = []
-        for i in range(start, min(start + BLOCK, len(nodes))):
-            earlier = np.r_[leaders, np.arange(start, i)]
-            if len(earlier):
-                like = _agree(sketches[earlier], sketches[i])
-                near = np.flatnonzero(like >= SKETCH_LEAST)
-                for x in {earlier[near[0]], earlier[like.argmax()]} if len(near) else ():
-                    yield nodes[x], nodes[i]
-                if len(near):
-                    continue
-            fresh.append(i)
-        leaders = np.r_[leaders, np.array(fresh, np.int64)]
-
-
-def candidate_pairs(texts: DataFrame) -> DataFrame:
-    """texts: node, keys, sketch; one row per distinct text. Returns distinct pairs (a, b) to verify."""
-    buckets = texts.select("node", "sketch", F.explode("keys").alias("key"))
+_PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+_MEMBER = pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("node", pa.binary()), ("block", pa.int32()), ("class", pa.binary()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))])
+_MEMBER_SQL = "key bigint, i int, j int, node binary, block int, class binary, sketch binary, keys array<bigint>"
+
+
+class _Cell:
+    """Two blocks of a bucket's members, or one with itself: which of left and right resemble each other, are in
+    different classes and share no earlier bucket. Rows: node, block, class, sketch, keys."""
+
+    def __init__(self, key: int, i: int, j: int, rows: list) -> None:
+        self.place, self.rows, at = (key, i, j), rows, np.arange(len(rows))
+        block = np.array([r[1] for r in rows])
+        sketches = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+        classes = np.unique(np.array([r[2] for r in rows], object), return_inverse=True)[1]
+        band = rows[0][4].index(key)
+        earlier = np.array([r[4][:band] for r in rows], np.int64).reshape(len(rows), band)
+        self.left, self.right = at[block == i], at[block == j]
+        self.like = np.zeros((len(self.left), len(self.right)), np.float32)
+        for x, one in enumerate(self.left.tolist()):
+            other = (classes[self.right] != classes[one]) & ~(earlier[self.right] == earlier[one]).any(1)
+            if i == j:
+                other &= self.right > one
+            to = np.flatnonzero(other)
+            self.like[x, to] = _agree(sketches[self.right[to]], sketches[one])
+        self.near = self.like >= SKETCH_LEAST
+
+    def members(self) -> list:
+        """The rows of which a pair has to be verified."""
+        return [self.rows[x] for x in sorted({*self.left[self.near.any(1)].tolist(), *self.right[self.near.any(0)].tolist()})]
+
+    def most_alike(self) -> Iterator[tuple[bytes, bytes]]:
+        """Pairs of each member with the one it resembles most."""
+        if self.near.any():
+            first = np.zeros_like(self.near)
+            first[np.arange(len(self.left)), self.like.argmax(1)] = True
+            first[self.like.argmax(0), np.arange(len(self.right))] = True
+            for x, y in zip(*(z.tolist() for z in np.nonzero(self.near & first))):
+                yield self.rows[self.left[x]][0], self.rows[self.right[y]][0]
+
+    def links(self, weighed: list, least: float) -> Iterator[tuple[bytes, bytes]]:
+        """Pairs at `least` or more that make the classes of the cell; those that others have joined are left out."""
+        root = list(range(len(self.rows)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for x, y in zip(*(z.tolist() for z in np.nonzero(self.near))):
+            x, y = int(self.left[x]), int(self.right[y])
+            if find(x) != find(y) and weighted_jaccard(weighed[x], weighed[y]) >= least - 1e-9:
+                root[find(x)] = find(y)
+                yield self.rows[x][0], self.rows[y][0]
+
+
+def _cells(batches: Iterator[pa.RecordBatch], extra=lambda batch: ()) -> Iterator[tuple[_Cell, list]]:
+    """Cells of rows sorted by key, i, j, each with what extra() makes of its rows."""
+    at, held, more = None, [], []
+    for batch in batches:
+        made = extra(batch) or [None] * batch.num_rows
+        for (key, i, j, *row), x in zip(zip(*(batch.column(c).to_pylist() for c in range(8))), made):
+            if (key, i, j) != at:
+                if len(held) > 1:
+                    yield _Cell(*at, held), more
+                at, held, more = (key, i, j), [], []
+            held.append(row)
+            more.append(x)
+    if len(held) > 1:
+        yield _Cell(*at, held), more
+
+
+def _batches(rows: Iterator, schema: pa.Schema, most: int = 2000) -> Iterator[pa.RecordBatch]:
+    while part := list(itertools.islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*part), schema)], schema=schema)
+
+
+def shared_buckets(texts: DataFrame) -> DataFrame:
+    """texts: node, keys, sketch; one row per distinct text. Rows of the buckets of several texts, with their leader."""
+    buckets = texts.select("node", "sketch", "keys", F.explode("keys").alias("key"))
     order = F.hash("node", F.col("key") % 2)  # two leaders for the buckets of a group, not one each
     leaders = buckets.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "sketch")).alias("l"), F.count("*").alias("c")).where("c > 1")
     leaders = leaders.select(F.col("key").alias("k"), F.col("l.node").alias("leader"), F.col("l.sketch").alias("leads"))
-    met = buckets.join(leaders, F.col("key") == F.col("k")).where("node <> leader").select("key", "node", "sketch", "leader", "leads")
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("key", pa.int64()), ("sketch", pa.binary())])
-    k = BANDS * ROWS
+    return buckets.join(leaders, F.col("key") == F.col("k")).select("key", "node", "sketch", "keys", "leader", "leads")
+
+
+def leader_pairs(shared: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of a bucket's leader and a member that resembles it."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mine, leads = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, k) for i in (2, 4))
+            mine, leads = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for i in (1, 3))
             like = pa.array(_agree(mine, leads) >= SKETCH_LEAST)
-            none = pa.scalar(None, pa.binary())
-            yield pa.RecordBatch.from_arrays([pc.if_else(like, batch.column(3), none), batch.column(1), pc.if_else(like, pa.scalar(None, pa.int64()), batch.column(0)), pc.if_else(like, none, batch.column(2))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(2).filter(like), batch.column(0).filter(like)], schema=_PAIR)
 
-    met = keep(met.mapInArrow(compare, "a binary, b binary, key bigint, sketch binary").distinct(), "met")
-    # those unlike their leader: the bucket is dealt again by another band's samples
-    another = F.expr(f"substring(sketch, cast(pmod(key, {BANDS}) * {ROWS} + 1 as int), {ROWS})")
-    rest = met.where("a is null").select(F.xxhash64("key", another).alias("k"), F.col("b").alias("node"), "sketch")
-    pair_schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    met = shared.where("node <> leader").select("node", "sketch", "leader", "leads")
+    return met.mapInArrow(compare, "a binary, b binary").distinct()
 
-    def among(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, nodes, sketches = None, [], []
 
-        def made() -> list[tuple[bytes, bytes]]:
-            return [*_bucket_pairs(nodes, np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, k))] if len(nodes) > 1 else []
+def cells(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of buckets that hold several classes of roots, by cell (key, i, j), sorted.
 
-        out: list = []
-        for batch in batches:
-            for key, node, sketch in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if key != at:
-                    out += made()
-                    at, nodes, sketches = key, [], []
-                nodes.append(node)
-                sketches.append(sketch)
-            if len(out) > 4000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out)], schema=pair_schema)
-                out = []
-        out += made()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out)], schema=pair_schema)
-
-    others = rest.repartition("k").sortWithinPartitions("k", "node").mapInArrow(among, "a binary, b binary")
-    return met.where("a is not null").select("a", "b").unionByName(others).distinct()
+    Of a bucket the members of its largest class meet the others, those meet each other too, in cells of
+    two blocks of about BLOCK members, so that no task has more.
+    """
+    known = roots.withColumnRenamed("node", "n2")
+    rows = shared.select("key", "node", "sketch", "keys").join(known, F.col("node") == F.col("n2"), "left").select("key", "node", "sketch", "keys", F.coalesce("root", "node").alias("class"))
+    sizes = rows.groupBy("key", "class").agg(F.count("*").alias("c"))
+    split = sizes.groupBy("key").agg(F.max(F.struct("c", "class")).alias("l"), F.sum("c").alias("n"), F.count("*").alias("classes")).where("classes > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    split = split.select(F.col("key").alias("k"), F.col("l.class").alias("largest"), blocks(F.col("n") - F.col("l.c")).alias("others"), blocks(F.col("l.c")).alias("mine"))
+    rows = rows.join(split, F.col("key") == F.col("k"))
+    largest = F.col("class") == F.col("largest")
+    block = F.when(largest, F.col("others") + F.pmod(F.hash("node"), F.col("mine"))).otherwise(F.pmod(F.hash("node"), F.col("others")))
+    last = F.when(largest, F.col("others")).otherwise(F.col("others") + F.col("mine")) - 1
+    rows = rows.select("key", "node", "sketch", "keys", "class", block.alias("block"), F.explode(F.sequence(F.lit(0), last)).alias("with"))
+    rows = rows.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "block", "class", "sketch", "keys")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+
+
+def most_alike_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b): members of a bucket with the one of another class that they resemble most in a cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches((pair for cell, _ in _cells(batches) for pair in cell.most_alike()), _PAIR)
+
+    return cells(shared, roots).mapInArrow(run, "a binary, b binary").distinct()
+
+
+def remaining_links(shared: DataFrame, roots: DataFrame, texts: DataFrame, docs: DataFrame, idf, least: float) -> DataFrame:
+    """Links (u, v) of similarity `least` or more that join whatever classes of roots share a bucket and belong together.
+
+    All pairs of members of different classes that resemble each other are verified, each in the first bucket they
+    share, unless others of the cell have joined them. A text goes to a cell once, not once a pair.
+    """
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for cell, _ in _cells(batches):
+                yield from ((*cell.place, *row) for row in cell.members())
+
+        yield from _batches(rows(), _MEMBER)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weighed = lambda batch: [weigh(t, idf.value) for t in batch.column(8).cast(pa.binary()).to_pylist()]
+        yield from _batches((pair for cell, w in _cells(batches, weighed) for pair in cell.links(w, least)), _PAIR)
+
+    members = keep(cells(shared, roots).mapInArrow(needed, _MEMBER_SQL), "members")
+    rows = with_text(members, texts, docs).select(*_MEMBER.names, "text")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(run, "u binary, v binary")
+
+
+def with_text(needed: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """needed, whose rows name a node, with the text of it."""
+    needed = needed.join(texts.select(F.col("node").alias("n2"), "rep"), F.col("node") == F.col("n2")).drop("n2")
+    rows = docs.select("doc_id", F.unhex(F.md5("text")).alias("h"), "text")
+    return rows.join(needed, (rows["h"] == needed["node"]) & same(rows["doc_id"], needed["rep"]))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, idf, least: float) -> DataFrame:
@@ -232,9 +322,7 @@ def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, idf, least: fl
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEET).cast("int").alias("groups"))
     members = pairs.join(many.withColumnRenamed("a", "a2"), F.col("a") == F.col("a2")).select(F.col("b").alias("node"), "a", F.lit(1).alias("role"), F.pmod(F.hash("b"), F.col("groups")).alias("g"))
     leaders = many.select(F.col("a").alias("node"), "a", F.lit(0).alias("role"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"))
-    needed = members.unionByName(leaders).join(texts.select(F.col("node").alias("n2"), "rep"), F.col("node") == F.col("n2")).drop("n2")
-    rows = docs.select("doc_id", F.unhex(F.md5("text")).alias("h"), "text")
-    rows = rows.join(needed, (rows["h"] == needed["node"]) & same(rows["doc_id"], needed["rep"])).select("a", "g", "role", "node", "text")
+    rows = with_text(members.unionByName(leaders), texts, docs).select("a", "g", "role", "node", "text")
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,9 +366,12 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     made = arrow(sketch, "struct<keys:array<bigint>,sketch:binary>")
     rows = keep(docs.select("doc_id", F.unhex(F.md5("text")).alias("h"), made(F.col("text")).alias("s")).select("doc_id", "h", "s.*"), "sketches")
     texts = keep(rows.groupBy("h").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).withColumnRenamed("h", "node"), "texts")
-    pairs = keep(candidate_pairs(texts.where("keys is not null")), "pairs")
-    links = verified(pairs, texts, docs, idf, least)
-    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    shared = keep(shared_buckets(texts.where("keys is not null")), "shared")
+    links = lambda pairs: verified(keep(pairs, "pairs"), texts, docs, idf, least).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    roots = components(links(leader_pairs(shared)))
+    known = lambda: roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    roots = components(known().unionByName(links(most_alike_pairs(shared, roots))))
+    roots = components(known().unionByName(remaining_links(shared, roots, texts, docs, idf, least)))
     rooted = texts.select("node", "rep").join(roots.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("z"), "rep", "node")).alias("m")).select(F.col("root").alias("r2"), F.col("m.rep").alias("class_id"), F.col("m.node").alias("kept_h"))
     named = rooted.join(first, F.col("root") == F.col("r2")).select(F.col("node").alias("n2"), "class_id", "kept_h")

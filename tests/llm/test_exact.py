@@ -145,6 +145,22 @@ def test_near_duplicates(spark, texts):
     assert {frozenset(x) for x in out.values()} == true_classes(texts)
 
 
+@pytest.mark.parametrize("block", [neardup.BLOCK, 64])
+def test_near_duplicates_among_templated_texts(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    template, texts = [f"t{i}" for i in range(200)], []
+    for i in range(300):  # alike by about 0.7, below a match, and a copy of each that is just above
+        own = [f"d{i}w{j}" for j in range(18)]
+        copy = [*own[:10], *(f"d{i}c{j}" for j in range(3)), *own[13:]]
+        texts += [(2 * i, " ".join(template + own)), (2 * i + 1, " ".join(template + copy))]
+    want = true_classes(texts)
+    assert len(want) == 300
+    out = defaultdict(set)
+    for r in neardup.classes(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        out[r.class_id].add(r.doc_id)
+    assert {frozenset(x) for x in out.values()} == want
+
+
 def test_consistent_samples_estimate_similarity():
     rng = np.random.default_rng(1)
     sampler = neardup.Sampler(256)
