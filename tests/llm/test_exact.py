@@ -97,6 +97,24 @@ def test_pii_adds_worded_addresses_and_redacts(spark):
     assert got[3].text == "mail [redacted], call [redacted]"
 
 
+BESIDE = [
+    ("IBAN DE89 3704 0044 0532 0130 00 Please pay", ["DE89 3704 0044 0532 0130 00"]), ("iban DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX now", ["DE89 3704 0044 0532 0130 00"]), ("iban DE89370400440532013000 Thanks", ["DE89370400440532013000"]),
+    ("call 555-123-4567 555-987-6543", ["555-123-4567", "555-987-6543"]), ("ssn 123-45-6789 2024", ["123-45-6789"]),
+    ("ssn 123-45-6789 987-65-4321 111-22-3333 444-55-6666 end", ["123-45-6789", "987-65-4321", "111-22-3333", "444-55-6666"]), ("card 1234 5678 9012 3456 12/27", ["1234 5678 9012 3456"]),
+]
+
+
+def test_pii_proposes_what_stands_beside_other_groups(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(BESIDE)], "doc_id long, t string")
+    proposed = {r.doc_id: {(c.s, c.e) for c in r.proposed} for r in pii.proposals(pii.base_spans(docs, "t"), "t").collect()}
+    added = {r.doc_id: [(c.s, c.e) for c in r.added] for r in pii.scan(docs.withColumnRenamed("t", "text")).collect()}
+    for i, (t, values) in enumerate(BESIDE):
+        for v in values:
+            s, e = t.index(v), t.index(v) + len(v)
+            assert (s, e) in proposed[i], v
+            assert any(a <= s and e <= b for a, b in added[i]), (v, added[i])
+
+
 @pytest.mark.parametrize("tree", [substrings.TREE, 2])
 def test_substrings(spark, texts, tree):
     got = {r.doc_id: r for r in substrings.deduplicated(spark.createDataFrame(texts, "doc_id long, text string"), tree=tree).collect()}
