@@ -24,6 +24,8 @@ from .common import arrow, prepare, read_table
 MODEL_DOCS, CURVE_DOCS = 2000, 1000
 #: Characters of the longest gram; grams up to SHARED characters have one set of counts.
 ORDER, SHARED = 6, 2
+#: Characters of a word that are scored, and remembered, as one.
+PIECE = 40
 DISCOUNT = 0.75
 #: Words whose evidence a worker remembers.
 REMEMBERED = 400_000
@@ -32,8 +34,10 @@ _EDGES = ".,;:!?*#$%&|<>\"'()[]{}«»„“”‘’…-–—"
 
 
 def words_of(text: str) -> list[str]:
-    """The words of a text in lower case, bare of signs around them; longer ones by their first 40 characters."""
-    return [w[:40] for x in text.lower().split() if (w := x.strip(_EDGES))]
+    """The words of a text in lower case, bare of signs around them; those longer than PIECE in pieces of it, which
+    share ORDER - 1 characters, so every gram of a word is whole in one of them."""
+    step = PIECE - ORDER + 1
+    return [w[i : i + PIECE] for x in text.lower().split() if (w := x.strip(_EDGES)) for i in (range(0, len(w) - ORDER + 1, step) if len(w) > PIECE else (0,))]
 
 
 class KneserNey:

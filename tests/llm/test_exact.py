@@ -232,6 +232,19 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([np.mean(np.array(clean) < s) + np.mean(np.array(clean) == s) / 2 for s in toxic]) > 0.9
 
 
+def test_toxicity_counts_all_of_long_words():
+    for n in (*range(38, 120), 1000):
+        word = "".join(chr(0x4E00 + i) for i in range(n))
+        pieces = toxicity.words_of(word)
+        grams = {word[i : i + toxicity.ORDER] for i in range(n - toxicity.ORDER + 1)}
+        assert grams == {p[i : i + toxicity.ORDER] for p in pieces for i in range(len(p) - toxicity.ORDER + 1)}
+        assert max(map(len, pieces)) <= 40 and (n > 40 or pieces == [word])
+    scorer = toxicity.Scorer({"卑劣な愚か者": (50, 1), "今日は良い天気": (1, 50), "散歩をした": (2, 40)})
+    calm = "今日は良い天気散歩をした" * 8
+    mean = toxicity.STRONGEST  # the feature after the strongest words is the mean evidence
+    assert scorer.features(calm + "卑劣な愚か者")[mean] > scorer.features(calm + "散歩をした")[mean]
+
+
 def test_mix_meets_targets(spark):
     rows = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet")).groupBy("source").agg(F.max("target").alias("t"), F.max("source_size").alias("n"), F.sum("size").alias("s"), F.sum(F.col("copies") * F.col("size")).alias("k")).collect()
     goal = mixing.targets({r.source: r.s for r in rows})
