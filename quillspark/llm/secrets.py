@@ -1,7 +1,7 @@
 """Secret scan with a battery of randomness tests.
 
-Three patterns give the base spans. Beyond them, every token of 20 to 512 characters of a key alphabet
-that holds letters and digits is a candidate: its encoding is inferred, and three tests of that encoding's
+Three patterns give the base spans. Beyond them, every token of 20 or more characters of a key alphabet
+is a candidate: its encoding is inferred, and three tests of that encoding's
 alphabet ask whether the characters look drawn at random: chi-squared uniformity, runs about the middle
 of the alphabet, and serial correlation. Fisher's method combines the tail probabilities. Per band of lengths,
 Benjamini-Hochberg control over all candidates of the corpus decides which tokens are not random;
@@ -21,7 +21,7 @@ _KEY = r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?
 ASSIGN = _KEY + r"[A-Za-z0-9+/_.=-]++"
 ACCESS = r"AKIA[A-Z0-9]{16,}+"  # the whole run, as long as AKIA[A-Z0-9]+ of 20 or more
 HEX = r"[0-9a-f]{24,}+"
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,512}+={0,2}(?![A-Za-z0-9+/_=-])"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
 #: Encodings in the order in which they are tried, with their alphabets.
 ENCODINGS = {
     "hex": "0123456789abcdef",
@@ -109,8 +109,7 @@ def scan(docs: DataFrame) -> DataFrame:
     found = with_spans(text, "t", {"assign": (ASSIGN, None), "access": (ACCESS, F.contains("t", F.lit("AKIA"))), "hex": (HEX, None), "token": (TOKEN, None)})
     found = found.select("doc_id", F.filter("assign", lambda x: F.length(F.regexp_extract(x["m"], f"^{_KEY}(.*)$", 1)) >= 6).alias("assign"), "access", "hex", "token")
     base = F.concat("assign", "access", "hex")
-    mixed = lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]")
-    found = found.select("doc_id", "assign", "access", "hex", F.when(F.size("token") > 0, F.filter("token", lambda x: mixed(x) & ~overlaps(x, base))).otherwise(no_spans()).alias("token"))
+    found = found.select("doc_id", "assign", "access", "hex", F.when(F.size("token") > 0, F.filter("token", lambda x: ~overlaps(x, base))).otherwise(no_spans()).alias("token"))
     found = keep(found.select("doc_id", "assign", "access", "hex", F.when(F.size("token") > 0, battery(F.col("token"))).alias("token")), "secrets")
     limits = thresholds(found.select(F.explode("token").alias("c")).select("c.band", "c.p"))
     limit = lambda x: F.coalesce(*(F.when(x["band"] == b, F.lit(p)) for b, p in limits.items()), F.lit(0.0))

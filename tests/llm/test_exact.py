@@ -58,6 +58,18 @@ def test_random_tokens_are_told_from_words(spark):
     assert len(found & set(range(60))) >= 54 and len(found - set(range(60))) <= 3
 
 
+def test_random_tokens_of_any_length_and_class(spark):
+    rng = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(rng.choices(letters + "0123456789+/", k=n)) for n in (513, 600, 2000, 5000)] + ["".join(rng.choices(letters, k=24)) for _ in range(20)]
+    plain = ["-" * 40, "ab" * 400, "a" * 30_000]
+    rows = [(i, f"see {t} here") for i, t in enumerate(keys + plain)]
+    found = {r.doc_id: [(x.s, x.e) for x in r.random] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i] == [(4, 4 + len(keys[i]))] for i in range(4))
+    assert sum(found[i] == [(4, 28)] for i in range(4, 24)) >= 18
+    assert not any(found[i] for i in range(24, 27))
+
+
 def luhn(figures):
     total = 0
     for i, c in enumerate(reversed(figures)):
