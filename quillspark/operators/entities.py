@@ -185,11 +185,13 @@ def safe_variant(variant: Column, canonical: Column) -> Column:
 def near_pairs(names: DataFrame) -> DataFrame:
     """names: name, n. Pairs of names of 5 letters or more, alike but for two letters, each used twice.
 
-    Names meet under what is left of them with up to two letters taken out of their first four, so no pair is lost
-    where the change is there, and under their last three letters where it is behind.
+    Names meet under what is left of them with up to two letters taken out anywhere, so no pair is lost.
     """
+    shorter = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
     rows = names.where((F.length("name") >= 5) & (F.col("n") >= 2))
-    keyed = rows.select("name", "n", F.explode(F.array_distinct(F.array(F.concat(F.lit("<"), F.substring("name", 1, 2)), F.concat(F.lit(">"), F.substring("name", -2, 2))))).alias("k"))
+    one = shorter(F.col("name"))
+    keys = F.array_distinct(F.concat(F.array("name"), one, F.flatten(F.transform(one, shorter))))
+    keyed = rows.select("name", "n", F.explode(keys).alias("k"))
     other = keyed.select(F.col("name").alias("other"), F.col("n").alias("m"), "k")
     pairs = keyed.join(other, "k").where((F.col("name") < F.col("other")) & (F.abs(F.length("name") - F.length("other")) <= 2))
     return pairs.where(F.levenshtein("name", "other") <= 2).select("name", "other", "n", "m").distinct()

@@ -215,3 +215,11 @@ def test_workspace(spark, tmp_path):
         with pytest.raises(ValueError):
             workspace.parse_manifest(bad)
     assert workspace.canon_names([{"id": "1", "type": "place", "name": "Rye", "in": [{"id": "1", "type": "ship", "name": "Ann"}]}]) == [("1", "Ann", "ship")]
+
+
+def test_near_pairs_that_differ_at_both_ends(spark):
+    from quillspark.operators import entities
+
+    names = ["Katerina", "Caterine", "Katarina", "Marta", "Narto", "Miriam"]
+    found = entities.near_pairs(spark.createDataFrame([(n, 2) for n in names], "name string, n long"))
+    assert {(r.name, r.other) for r in found.collect()} == {("Caterine", "Katerina"), ("Katarina", "Katerina"), ("Marta", "Narto")}
