@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import atexit
 import functools
+import itertools
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch. Documents of 100 kB each then need 50 MB, not 1 GB.
 BATCH_ROWS = 512
+#: Keys that hold more than 1 / HOT of the rows are joined by broadcast; there are fewer than HOT.
+HOT = 20_000
 
 
 def prepare(spark: SparkSession) -> None:
@@ -26,9 +32,12 @@ def arrow(function, schema: str):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one if
+    all run on this machine, else an error: executors don't see each other's disks."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="quillspark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -70,6 +79,32 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
+def grouped(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[list[tuple]]:
+    """Rows of sorted batches by their first `keys` columns, a group at a time; strings come as bytes."""
+    plain = lambda c: (c.cast(pa.binary()) if pa.types.is_string(c.type) else c).to_pylist()
+    rows = (row for batch in batches for row in zip(*map(plain, batch.columns)))
+    for _, group in itertools.groupby(rows, lambda row: row[:keys]):
+        yield [*group]
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, n: str, spread: tuple[str, ...]) -> DataFrame:
+    """rows with the other columns of table, null where it lacks their key.
+
+    table has one row a key, kept in a file; n is how many of the rows have that key. The fewer than HOT keys
+    with over 1 / HOT of all are broadcast, and their rows dealt by a hash of `spread` instead, so no task of the
+    join gets a hot key. Keys are never null.
+    """
+    total = table.agg(F.sum(n)).first()[0] or 0
+    value = F.struct(*(c for c in table.columns if c != key))
+    often = F.col(n) * HOT > total
+    hot = F.broadcast(table.where(often).select(F.col(key).alias("_hk"), value.alias("_hot")))
+    cold = table.where(~often).select(F.col(key).alias("_ck"), value.alias("_cold"))
+    elsewhere = F.concat(F.lit("\0"), F.xxhash64(*spread).cast("string")).cast(rows.schema[key].dataType) if rows.schema[key].dataType.typeName() != "long" else F.xxhash64(*spread)
+    rows = rows.join(hot, F.col(key) == F.col("_hk"), "left").withColumn("_k", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(elsewhere))
+    rows = rows.join(cold.hint("shuffle_hash"), F.col("_k") == F.col("_ck"), "left").withColumn("_v", F.coalesce("_hot", "_cold"))
+    return rows.drop("_hk", "_hot", "_k", "_ck", "_cold").select("*", "_v.*").drop("_v")
+
+
 def stage_of(*used: str):
     """Makes a stage of a function (spark, docs, sf_dir) that needs only the columns `used`.
 

@@ -2,20 +2,25 @@
 
 A window is `WINDOW` consecutive words of a document. Each window has an anchor: of the `PREFIX`-word
 sequences inside it, the one with the least hash. Equal windows have equal anchors at equal places, so
-suffixes that start at an anchor and share its prefix hold every repeat, and a prefix that occurs once
-in the corpus holds none: its suffixes are dropped before any text moves. The others meet by prefix.
-A group that fits a task gets a suffix tree (sorted suffixes, common prefixes of neighbours); inner nodes
-of `WINDOW` words or more are the repeats. In a larger group the prefix grows to the whole window, where
-suffixes under one prefix are all equal, so counting them is all that is left of the tree: first of blocks
-of neighbouring windows, then of the windows in blocks that occur once.
-
-Steps: (1) anchors of all texts; (2) count prefixes, keep repeated ones; (3) cut the words around their
-anchors; (4) trees and counts; (5) per document, the words that repeated windows cover. Of texts that are
-equal as a whole only one goes through steps 3 and 4.
+neighbouring windows that share an anchor travel as one piece of text, and all of them hold the words of the
+anchor: a prefix of `PREFIX` words under which their suffixes meet. A prefix that occurs once in the corpus
+holds no repeat: its pieces are dropped before any text moves.
+
+Prefixes have variable length. Where one is too frequent for the memory of a task, its pieces are halved: the
+windows of a half share more words, so its prefix is longer (8, 22, 29, 32, 34, 35 words). Pieces that are equal
+as a whole are repeats, and one of them goes on for the others to meet; pieces whose longer prefix
+stands alone are dropped. So every group ends as one that fits, and gets a suffix tree: sorted suffixes,
+common prefixes of neighbours, inner nodes as intervals of leaves. Inner nodes of `WINDOW` words or more whose
+leaves have different words before them are the maximal repeats, and the windows in those are repeated.
+
+Steps: (1) anchors of all texts; (2) count prefixes, keep repeated ones; (3) cut the pieces around their
+anchors; (4) lengthen frequent prefixes; (5) trees; (6) per document, the words that repeated windows
+cover. Of texts that are equal as a whole only one goes through steps 3 to 5.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -25,13 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, keep, prepare, read_table, same
+from .common import arrow, grouped, keep, lookup, prepare, read_table, same
 
 WINDOW, PREFIX = 35, 8
-#: Anchored suffixes of a prefix that one tree takes: some MB. Beyond, the prefix grows to a window.
+#: Pieces of a prefix that one tree takes: some 20 MB. Beyond, the prefix grows.
 TREE = 2048
-#: Neighbouring windows that are counted as one where a prefix is frequent.
-NEIGHBOURS = 7
 #: Windows of a text that are looked at together.
 BLOCK = 1 << 22
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -93,49 +96,70 @@ def anchors(words: list[bytes], window: int, prefix: int) -> list[tuple[int, int
     return out
 
 
-def tree_repeats(suffixes: list[bytes], window: int) -> tuple[list[int], list[tuple[int, int, int]]]:
-    """The suffix tree of a group: the order of its leaves, and its inner nodes of `window` words or more.
+class SuffixTree:
+    """The suffixes of some texts (words joined by blanks) that have `window` words or more.
 
-    Nodes are (first leaf, end leaf, depth in words); depth is capped at `window`, where nodes of equal
-    windows end. A leaf below such a node starts a repeated window.
+    leaves: (text, first word), in the order of the suffixes. nodes: inner nodes of `window` words or more
+    as (first leaf, end leaf, depth in words), children before parents.
     """
-    order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
-    nodes, start = [], 0
-    for i in range(1, len(order) + 1):
-        if i == len(order) or suffixes[order[i]] != suffixes[order[start]]:
-            if i - start > 1:
-                nodes.append((start, i, window))
-            start = i
-    return order, nodes
+
+    def __init__(self, texts: list[bytes], window: int) -> None:
+        self.words = [t.split(b" ") for t in texts]
+        spelled = []
+        for t, text in enumerate(texts):
+            ends = [0, *(i + 1 for i, c in enumerate(text) if c == 32), len(text) + 1]
+            text += b" "
+            spelled += ((text[ends[k] :], t, k, ends[k + window] - ends[k]) for k in range(len(ends) - window))
+        spelled.sort()
+        self.leaves = [(t, k) for _, t, k, _ in spelled]
+        self.nodes: list[tuple[int, int, int]] = []
+        open_, below = [(0, 0)], len(spelled)  # (depth, first leaf)
+        for i in range(1, below + 1):
+            depth = 0
+            if i < below:
+                (one, t, k, cut), (two, u, j, _) = spelled[i - 1], spelled[i]
+                if two.startswith(one[:cut]):
+                    depth, a, b = window, self.words[t], self.words[u]
+                    while k + depth < len(a) and j + depth < len(b) and a[k + depth] == b[j + depth]:
+                        depth += 1
+            first = i - 1
+            while open_[-1][0] > depth:
+                d, first = open_.pop()
+                self.nodes.append((first, i, d))
+            if open_[-1][0] < depth:
+                open_.append((depth, first))
+
+    def maximal_repeats(self) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """(words, places (text, first word)) of each sequence that occurs more than once and not always after the same word."""
+        for a, b, depth in self.nodes:
+            places = self.leaves[a:b]
+            before = {self.words[t][k - 1] if k else None for t, k in places}
+            if len(before) > 1 or None in before:
+                yield depth, places
 
 
 def group_repeats(rows: list[tuple], window: int) -> Iterator[tuple]:
-    """rows: (doc, first window, number of windows, words) under one prefix. Yields (doc, first, count) runs
-    of windows that occur elsewhere in the group."""
+    """rows: (doc, first window or None, number of windows, words, weight) under one prefix. Yields (doc, first, count)
+    runs of windows that occur elsewhere in the group. A weight of 2 says that the words occur again as a whole; such
+    a row has no place of its own and is there for others to meet."""
     texts: dict[bytes, list[int]] = {}
     for i, row in enumerate(rows):
         texts.setdefault(row[3], []).append(i)
-    if len(texts) == 1 and len(rows) > 1:  # all suffixes are equal
-        yield from ((doc, first, n) for doc, first, n, _ in rows)
-        return
-    leaves, owner = [], []
-    for t, (text, at) in enumerate(texts.items()):
-        blanks = [0, *(i + 1 for i, c in enumerate(text) if c == 32), len(text) + 1]
-        for k in range(rows[at[0]][2]):
-            leaves.append(text[blanks[k] : blanks[k + window] - 1])
-            owner.append((t, k))
-    order, nodes = tree_repeats(leaves, window)
-    repeated: list[set[int]] = [set() for _ in texts]
-    for a, b, _ in nodes:
-        for i in order[a:b]:
-            repeated[owner[i][0]].add(owner[i][1])
-    for t, at in enumerate(texts.values()):
+    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+    if len(texts) > 1:
+        for depth, places in SuffixTree([*texts], window).maximal_repeats():
+            for t, k in places:
+                spans[t].append((k, k + depth - window + 1))
+    for found, at in zip(spans, texts.values()):
+        whole = sum(rows[i][4] for i in at) > 1
         for i in at:
-            doc, first, n, _ = rows[i]
-            if len(at) > 1:  # the same words stand elsewhere as a whole
+            doc, first, n, _, _ = rows[i]
+            if first is None:
+                continue
+            if whole:
                 yield doc, first, n
-            elif repeated[t]:
-                yield from ((doc, first + a, c) for a, c in _runs(sorted(repeated[t])))
+            elif found:
+                yield from ((doc, first + a, c) for a, c in _runs(sorted({k for a, b in found for k in range(a, min(b, n))})))
 
 
 def _runs(places: list[int]) -> Iterator[tuple[int, int]]:
@@ -170,32 +194,40 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("key"), text.alias("text"))
 
 
-def _digest(words: list[bytes]) -> bytes:
-    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-
-
-def _counted(words: list[bytes], marks: list[dict], window: int) -> tuple[list[tuple], list[tuple[int, int]]]:
-    """Blocks (digest, first, n, digests of the windows, weight) of the runs under frequent prefixes, and
-    the runs (first, n) known to repeat as they occur twice in this text; such a block goes out once,
-    without a place, to be found by others. Blocks are cut at equal distances from the anchor."""
-    blocks: dict[bytes, list[tuple[int, int]]] = {}
-    for a in marks:
-        end, last = a["f"] + a["n"], a["f"] + a["p"]
-        f = a["f"]
-        while f < end:
-            n = min(end - f, (last - f) % NEIGHBOURS + 1)
-            blocks.setdefault(_digest(words[f : f + n + window - 1]), []).append((f, n))
-            f += n
-    out, known = [], set()
-    for digest, places in blocks.items():
-        f, n = places[0]
-        windows = b"".join(_digest(words[i : i + window]) for i in range(f, f + n))
-        if len(places) > 1:
-            known.update(i for f, n in places for i in range(f, f + n))
-            out.append((digest, None, n, windows, 2))
-        else:
-            out.append((digest, f, n, windows, 1))
-    return out, [*_runs(sorted(known))] if known else []
+def refined(pieces: DataFrame, window: int, prefix: int, tree: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Lengthens the prefixes of pieces (doc_id, key, first, o, n, words) until every group fits a tree.
+
+    o: words from the first window to the anchor. Returns runs that repeat as a whole and the rows of trees. A piece
+    stands for the windows whose o is within lo..hi; they all hold window + 1 - (hi - lo) words, the prefix. Each
+    round halves lo..hi; beyond the first, only pieces go on that share their prefix with more than `tree` other texts,
+    and of equal pieces one. So a round has a few rows a piece at most, and groups of one word sequence never grow.
+    """
+    runs, trees = [], []
+    pieces = pieces.select("doc_id", "key", "first", "o", "n", "words", F.lit(1).alias("weight"), F.lit(0).alias("lo"), F.lit(window - prefix + 1).alias("hi"))
+    while True:
+        word = F.split("words", " ")
+        pieces = keep(pieces.withColumn("h", F.unhex(F.md5(F.concat_ws(" ", "lo", "o", "n", "words")))), "pieces")
+        texts = pieces.groupBy("h").agg(F.sum("weight").alias("c"), F.min(F.struct("doc_id", "key", "first")).alias("place"), *(F.first(x).alias(x) for x in ("o", "n", "lo", "hi", "words")))
+        core = F.array_join(F.slice(word, F.col("o") - F.col("lo") + 1, window + 1 - F.col("hi") + F.col("lo")), " ")
+        texts = keep(texts.withColumn("core", F.unhex(F.md5(F.concat_ws(" ", "lo", core)))), "texts")
+        again = lookup(pieces.where("first is not null").select("doc_id", "key", "first", "n", "h"), texts.where("c > 1").select("h", "c"), "h", "c", ("doc_id", "first"))
+        runs.append(again.where("c is not null").select("doc_id", "key", "first", "n"))
+        cores = keep(texts.groupBy("core").agg(F.count("*").alias("d")).where("d > 1"), "cores")
+        shared = keep(lookup(texts, cores, "core", "d", ("h",)).where("d is not null"), "shared")
+        alone = F.col("c") == 1
+        shared = shared.select(*(F.when(alone, F.col(f"place.{x}")).alias(x) for x in ("doc_id", "key", "first")), "o", "n", "lo", "hi", "words", F.least("c", F.lit(2)).cast("int").alias("weight"), "core", "d")
+        trees.append(shared.where(F.col("d") <= tree).select("doc_id", "key", "first", "n", F.xxhash64("core").alias("k"), F.col("words").cast("binary").alias("words"), "weight"))
+        more = shared.where(F.col("d") > tree)
+        if more.isEmpty():
+            return runs, trees
+        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        halves = F.explode(F.array(F.struct(F.col("lo").alias("l2"), middle.alias("h2")), F.struct(middle.alias("l2"), F.col("hi").alias("h2")))).alias("half")
+        more = more.select("*", halves).withColumn("o2", F.least(F.col("half.h2") - 1, "o")).withColumn("n2", F.col("o2") - F.greatest("half.l2", F.col("o") - F.col("n") + 1) + 1).where("n2 > 0")
+        skipped = F.col("o") - F.col("o2")
+        pieces = more.select(
+            "doc_id", "key", (F.col("first") + skipped).alias("first"), F.col("o2").alias("o"), F.col("n2").alias("n"),
+            F.array_join(F.slice(word, skipped + 1, F.col("n2") + window - 1), " ").alias("words"), "weight", F.col("half.l2").alias("lo"), F.col("half.h2").alias("hi"),
+        )
 
 
 def twins(docs: DataFrame) -> DataFrame:
@@ -208,8 +240,8 @@ def twins(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, tree: int = TREE) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, key, runs: array<struct<first, n>> of repeated windows.
 
-    Windows are compared word by word, in trees, or by 128 bits of their words where counted, texts by 128
-    bits. Rows that repeat id and text are separate documents, so all their windows repeat, and share
+    Windows are compared word by word, in trees; pieces that are equal as a whole, and whole texts, by 128 bits.
+    Rows that repeat id and text are separate documents, so all their windows repeat, and share
     one row here. Documents without repeats have no row; null texts and texts of under `window` words have
     no windows, though the run of a text that occurs twice may say so of all it has.
     """
@@ -223,63 +255,45 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, tree: i
 
     marks = arrow(mark_texts, "array<struct<k:bigint,f:int,n:int,p:int>>")
     marks = keep(found.select("doc_id", "key", F.explode(marks(F.col("text"))).alias("a")).select("doc_id", "key", "a.*"), "anchors")
-    counts = marks.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").withColumnRenamed("k", "k2")
-    wanted = marks.join(counts.hint("shuffle_hash"), F.col("k") == F.col("k2")).select("doc_id", "key", F.struct("k", "f", "n", "p", (F.col("c") > tree).alias("big")).alias("a"))
+    counts = keep(marks.groupBy("k").agg(F.count("*").alias("c")).where("c > 1"), "prefixes")
+    wanted = lookup(marks, counts, "k", "c", ("key", "f")).where("c is not null").select("doc_id", "key", F.struct("k", "f", "n", "p", (F.col("c") > tree).alias("big")).alias("a"))
     wanted = wanted.groupBy(F.col("doc_id").alias("id2"), F.col("key").alias("key2")).agg(F.collect_set("a").alias("marks"))
     later = twin.where("not first").select(F.col("doc_id").alias("id3"), F.col("key").alias("key3")).distinct()
     wanted = wanted.join(later.hint("shuffle_hash"), (F.col("key2") == F.col("key3")) & same(F.col("id2"), F.col("id3")), "left_anti")
     with_text = found.join(wanted.hint("shuffle_hash"), (found["key"] == wanted["key2"]) & same(found["doc_id"], wanted["id2"])).select("doc_id", "key", "text", "marks")
 
     place = {"doc_id": pa.int64(), "key": pa.int64(), "first": pa.int32(), "n": pa.int32()}
-    # kind: t a suffix for a tree, b a block to count, r a run that is known to repeat
-    cut_schema = _schema(kind=pa.string(), **place, k=pa.int64(), words=pa.binary(), windows=pa.binary(), weight=pa.int32())
+    cut_schema = _schema(**place, k=pa.int64(), o=pa.int32(), big=pa.bool_(), words=pa.binary())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for doc, key, text, todo in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
                 words = text.split()
-                rows += (("t", doc, key, a["f"], a["n"], a["k"], b" ".join(words[a["f"] : a["f"] + a["n"] + window - 1]), None, 1) for a in todo if not a["big"])
-                blocks, known = _counted(words, [a for a in todo if a["big"]], window)
-                rows += (("b", doc, key, f, n, None, digest, windows, w) for digest, f, n, windows, w in blocks)
-                rows += (("r", doc, key, f, n, None, None, None, 1) for f, n in known)
+                rows += ((doc, key, a["f"], a["n"], a["k"], a["p"], a["big"], b" ".join(words[a["f"] : a["f"] + a["n"] + window - 1])) for a in todo)
                 if len(rows) > 4000:
                     yield _batch(rows, cut_schema)
                     rows = []
             yield _batch(rows, cut_schema)
 
-    pieces = keep(with_text.mapInArrow(cut, "kind string, doc_id bigint, key bigint, first int, n int, k bigint, words binary, windows binary, weight int"), "pieces")
+    cuts = keep(with_text.mapInArrow(cut, "doc_id bigint, key bigint, first int, n int, k bigint, o int, big boolean, words binary"), "cuts")
     run_schema = _schema(**place)
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, at, out = [], None, []
-        for batch in batches:
-            for k, doc, key, first, n, words in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if k != at:
-                    out += ((*d, f, c) for d, f, c in group_repeats(group, window))
-                    group, at = [], k
-                group.append(((doc, key), first, n, words))
+        out = []
+        for group in grouped(batches):
+            out += ((*d, f, c) for d, f, c in group_repeats([((doc, key), *row) for _, doc, key, *row in group], window))
             if len(out) > 4000:
                 yield _batch(out, run_schema)
                 out = []
-        out += ((*d, f, c) for d, f, c in group_repeats(group, window))
         yield _batch(out, run_schema)
 
     run = ("doc_id", "key", "first", "n")
-    by_tree = pieces.where("kind = 't'").select("k", *run, "words").repartition("k").sortWithinPartitions("k").mapInArrow(trees, "doc_id bigint, key bigint, first int, n int")
-    # blocks that occur again repeat as a whole; the windows of others are looked up one by one
-    blocks = pieces.where("kind = 'b'").select(*run, "words", "windows", "weight")
-    often = blocks.groupBy("words").agg(F.sum("weight").alias("c"), F.first("windows").alias("w")).where("c > 1")
-    often = keep(often.select(F.col("words").alias("of"), "w"), "blocks")
-    whole = blocks.where("first is not null").join(often.select("of"), F.col("words") == F.col("of")).select(*run)
-    alone = blocks.where("first is not null").join(often.select("of"), F.col("words") == F.col("of"), "left_anti")
-    each = lambda c: F.posexplode(F.transform(F.sequence(F.lit(0), (F.octet_length(c) / 16).cast("int") - 1), lambda i: F.substring(c, i * 16 + 1, F.lit(16)))).alias("i", "h")
-    windows = alone.select("doc_id", "key", (F.col("first")).alias("f"), each(F.col("windows"))).select("doc_id", "key", (F.col("f") + F.col("i")).alias("first"), F.lit(1).alias("n"), "h")
-    again = windows.select("h", F.lit(1).alias("c")).unionByName(often.select(each(F.col("w"))).select("h", F.lit(2).alias("c"))).groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select(F.col("h").alias("of"))
-    single = windows.join(again, F.col("h") == F.col("of")).select(*run)
-    known = pieces.where("kind = 'r'").select(*run)
+    known, more = refined(cuts.where("big").withColumn("words", F.col("words").cast("string")), window, prefix, tree)
+    leaves = [x.select("k", *run, "words", "weight") for x in (cuts.where("not big").withColumn("weight", F.lit(1)), *more)]
+    by_tree = functools.reduce(DataFrame.unionByName, leaves).repartition("k").sortWithinPartitions("k").mapInArrow(trees, "doc_id bigint, key bigint, first int, n int")
     equal = twin.select("doc_id", "key", F.lit(0).alias("first"), F.lit(1 << 29).alias("n"))
-    every = by_tree.unionByName(whole).unionByName(single).unionByName(known).unionByName(equal)
+    every = functools.reduce(DataFrame.unionByName, [by_tree, equal, *known])
     return every.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
 
 
@@ -312,4 +326,5 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, text: bool = True, **how
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deduplicated() over all documents: doc_id, n_words, n_removed, kept_sha256, one row a row."""
     return deduplicated(read_table(spark, sf_dir, "documents"), text=False)
