@@ -13,20 +13,20 @@ differ from its target by half of a short document at most, wherever it has shor
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keep, read_table, same, stage_of, text_key
+from .common import grouped, keep, lookup, prepare, read_table, same, stage_of, text_key
 
 #: Documents of a source that one task pairs, and survivors that meet in a node of the tree.
 BUCKET, FAN_IN = 4096, 64
-#: Sources up to which their table is broadcast.
-CATALOGUE = 100_000
 #: Documents with over 1 / HEAVY of their source's words are rounded before the others: under HEAVY a source.
 HEAVY = 512
 WEIGHTS, SHARE, MOST = (5, 2, 1), Fraction(3, 2), 2
@@ -37,25 +37,45 @@ def size_of(text):
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
-def targets(sizes: dict, weights=WEIGHTS, share=SHARE, most=MOST) -> dict:
-    """Words to take from each source: share of all sizes by weight, at most `most` times the source's.
+def source_key(source: Column) -> Column:
+    """A text that is never null and differs for each source."""
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
+
+
+def ranked(sources: DataFrame) -> DataFrame:
+    """sources(source, ...) with `place`, from 0, by code point, null last: sorted by ranges, counted by range."""
+    sources = sources.repartitionByRange(16, F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id())
+    sources = keep(sources.sortWithinPartitions(F.col("source").asc_nulls_last()), "sources")
+    before, total = [F.lit(0)] * 16, 0
+    for range_, n in sorted((r.range, r["count"]) for r in sources.groupBy("range").count().collect()):  # 16 at most
+        before[range_], total = F.lit(total), total + n
+    within = F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last()))
+    return sources.withColumn("place", F.element_at(F.array(*before), F.col("range") + 1) + within - 1).drop("range")
+
+
+def with_targets(sources: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
+    """sources(source, words, ...) with `weight` and `target`, the words to take: share of all by weight, at most
+    `most` times the source's.
 
     Sources go by code point, null last; the weights repeat along them. What a full source can't take is
-    shared again by weight among the others, until none is above. Exact fractions, floats at the end.
+    shared again by weight among the others, until none is above. Sums by weight are all that the driver
+    reads in a round; it keeps exact fractions, so a source is full if its words are up to a whole number.
     """
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    left, open_, out = share * sum(sizes.values()), set(order), {}
-    while open_:
-        unit = left / sum(weight[s] for s in open_)
-        full = {s for s in open_ if unit * weight[s] > most * sizes[s]}
-        if not full:
-            out |= {s: unit * weight[s] for s in open_}
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    sources = keep(ranked(sources).withColumn("weight", weight), "weights")
+    limits: dict[int, int] = {w: -1 for w in weights}  # a source of weight w is full if it has up to limits[w] words
+    full = lambda: F.col("words") <= F.coalesce(*(F.when(F.col("weight") == w, F.lit(x)) for w, x in limits.items()))
+    total = sources.agg(F.sum("words")).first()[0] or 0
+    while True:
+        sums = sources.groupBy("weight").agg(F.sum(F.when(full(), F.col("words")).otherwise(0)).alias("full"), F.sum(F.when(full(), 0).otherwise(1)).alias("open")).collect()
+        open_ = sum(r.weight * r.open for r in sums)
+        unit = (share * total - most * sum(r.full for r in sums)) / open_ if open_ else Fraction(0)
+        now = {w: max(limits[w], math.ceil(unit * w / most) - 1) for w in limits}
+        if now == limits or not open_:
             break
-        out |= {s: Fraction(most * sizes[s]) for s in full}
-        left -= sum(out[s] for s in full)
-        open_ -= full
-    return {s: float(x) for s, x in out.items()}
+        limits = now
+    units = F.coalesce(*(F.when(F.col("weight") == w, F.lit(float(unit * w))) for w in limits))
+    return sources.withColumn("target", F.when(full(), (F.col("words") * most).cast("double")).otherwise(units)).drop("place")
 
 
 def pivot(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> int:
@@ -86,91 +106,96 @@ def pivot(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> int:
     return a
 
 
+#: Columns of a unit that is to be rounded; doc_id is text here, as a null or long one must come back as it was.
+_UNIT = "sk string, bucket int, id string, source string, text_key string, size bigint, source_size bigint, target double, copies int, p double"
+_UNITS = pa.schema([(c, {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}[t]) for c, t in (x.split() for x in _UNIT.split(", "))])
+
+
+def _tie(row: tuple) -> int:
+    """A hash by which documents of one size are ordered."""
+    return xxhash.xxh3_64_intdigest(b"\0".join(x or b"\1" for x in (row[2], row[4])))
+
+
+def _batch(rows: list[tuple], copies: Iterator[int], p: Iterator[float]) -> pa.RecordBatch:
+    columns = [[x.decode() if isinstance(x, bytes) else x for x in c] for c in zip(*rows)]
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([*columns[:8], [*copies], [*p]], _UNITS)], schema=_UNITS)
+
+
 def _rounding(level: int, last: bool):
-    """Rounds one node of the tree; its survivor keeps a probability, at the root none does."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(tie=pd.util.hash_pandas_object(group[["doc_id", "text_key"]], index=False))
-        group = group.sort_values(["size", "tie"], ascending=[False, True], kind="stable")
-        p, size = group["p"].to_numpy(float).copy(), group["size"].to_numpy(float)
-        seed = [level, int(group["bucket"].iloc[0]), *str(group["source"].iloc[0]).encode()]
-        survivor = pivot(p, size, np.random.default_rng(seed))
-        if survivor >= 0 and last:
-            p[survivor] = round(p[survivor])
-        whole = (p == 0) | (p == 1)
-        group["copies"] = group["copies"].to_numpy() + np.where(whole, p, 0).astype("int32")
-        group["p"] = np.where(whole, 0.0, p)
-        return group.drop(columns="tie")
+    """Rounds nodes of the tree, rows by sk and bucket; a node's survivor keeps a probability, at the root none does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, 2):
+            group.sort(key=lambda r: (-r[5], _tie(r)))
+            p, size = np.array([r[9] for r in group]), np.array([r[5] for r in group], float)
+            survivor = pivot(p, size, np.random.default_rng([level, group[0][1], *group[0][0]]))
+            if survivor >= 0 and last:
+                p[survivor] = round(p[survivor])
+            whole = (p == 0) | (p == 1)
+            yield _batch(group, (r[8] + int(x) for r, x in zip(group, np.where(whole, p, 0))), np.where(whole, 0.0, p))
 
     return run
 
 
-def _heavy(group: pd.DataFrame) -> pd.DataFrame:
-    """Rounds the long documents of one source, by powers of two of their size, longest first."""
-    group = group.assign(tie=pd.util.hash_pandas_object(group[["doc_id", "text_key"]], index=False), octave=np.frexp(group["size"].to_numpy(float))[1])
-    group = group.sort_values(["octave", "tie"], ascending=[False, True], kind="stable").reset_index(drop=True)
-    rng = np.random.default_rng([99, *str(group["source"].iloc[0]).encode()])
-    words, goal = int(group["source_size"].iloc[0]), float(group["target"].iloc[0])
-    size, copies = group["size"].to_numpy(float), np.zeros(len(group), "int32")
-    for octave in group["octave"].unique():
-        at = np.flatnonzero(group["octave"].to_numpy() == octave)
-        f = min(max(goal / words, 0.0), float(MOST))
-        p = np.full(len(at), f - math.floor(f))
-        survivor, left = pivot(p, size[at], rng), words - size[at].sum()
-        if survivor >= 0:
-            p[survivor] = float(rng.random() < p[survivor]) if left else round(p[survivor])
-        copies[at] = math.floor(f) + p.astype("int32")
-        goal, words = goal - float((copies[at] * size[at]).sum()), int(left)
-    group["copies"], group["p"] = copies, 0.0
-    return group.drop(columns=["tie", "octave"])
+def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rounds the long documents of each source, by powers of two of their size, longest first."""
+    for group in grouped(batches, 1):
+        group.sort(key=lambda r: (-math.frexp(r[5])[1], _tie(r)))
+        octaves = np.array([math.frexp(r[5])[1] for r in group])
+        rng = np.random.default_rng([99, *group[0][0]])
+        words, goal = group[0][6], group[0][7]
+        size, copies = np.array([r[5] for r in group], float), np.zeros(len(group), "int32")
+        for octave in sorted({*octaves.tolist()}, reverse=True):
+            at = np.flatnonzero(octaves == octave)
+            f = min(max(goal / words, 0.0), float(MOST))
+            p = np.full(len(at), f - math.floor(f))
+            survivor, left = pivot(p, size[at], rng), words - size[at].sum()
+            if survivor >= 0:
+                p[survivor] = float(rng.random() < p[survivor]) if left else round(p[survivor])
+            copies[at] = math.floor(f) + p.astype("int32")
+            goal, words = goal - float((copies[at] * size[at]).sum()), int(left)
+        yield _batch(group, copies.tolist(), [0.0] * len(group))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     """docs: doc_id, text, source. Returns doc_id, source, text_key, size, source_size, target, copies.
 
     One row per row of docs; repeated rows are separate documents, ties among them fall alike in every
-    run. Null texts have size 0, null sources form one source, the last. The sources, a catalogue that
-    the weights refer to one by one, are summed up and read by the driver; documents never are.
+    run. Null texts have size 0, null ids are documents too, null sources form one source, the last. Sources are a
+    table like any other: there may be as many as documents. An empty table stays empty; other columns aren't read.
     """
-    spark = docs.sparkSession
-    rows = keep(docs.select("doc_id", "source", text_key(F.col("text")).alias("text_key"), size_of(F.col("text")).alias("size")), "sizes")
-    stats = {r.source: (r.words, r.n) for r in rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()}
-    goal = targets({s: words for s, (words, _) in stats.items()}, weights, share, most)
-
-    def with_source(df: DataFrame, table: list[tuple]) -> DataFrame:
-        known = spark.createDataFrame(pd.DataFrame(table, columns=["s", "source_size", "target", "buckets", "f"]), "s string, source_size bigint, target double, buckets int, f double")
-        if len(table) <= CATALOGUE:  # else the adaptive skew join parts a large source
-            known = F.broadcast(known)
-        return df.join(known, same(df["source"], known["s"])).select(
-            "doc_id", "source", "text_key", "size", "source_size", "target",
-            F.floor("f").cast("int").alias("copies"), (F.col("f") - F.floor("f")).alias("p"),
-            F.pmod(F.xxhash64(F.lit(17), "doc_id", "text_key"), F.col("buckets")).cast("int").alias("bucket"),
-        )
-
-    rows = with_source(rows, [(s, words, goal[s], max(1, math.ceil(n / BUCKET)), 0.0) for s, (words, n) in stats.items()])
-    is_heavy = F.col("size") * HEAVY > F.col("source_size")
-    heavy = keep(rows.where(is_heavy).groupBy("source").applyInPandas(_heavy, rows.schema), "heavy")
-    spent = {r.source: (r.words, r.taken, r.n) for r in heavy.groupBy("source").agg(F.sum("size").alias("words"), F.sum(F.col("copies") * F.col("size")).alias("taken"), F.count("*").alias("n")).collect()}
-    table = []
-    for s, (words, n) in stats.items():
-        long, taken, n_long = spent.get(s, (0, 0, 0))
-        f = (goal[s] - taken) / (words - long) if words > long else 0.0
-        table.append((s, words, goal[s], max(1, math.ceil((n - n_long) / BUCKET)), min(max(f, 0.0), float(most))))
-    units = with_source(rows.where(~is_heavy).select("doc_id", "source", "text_key", "size"), table)
-    schema, level, most_buckets, done = units.schema, 0, max((row[3] for row in table), default=0), heavy
+    prepare(docs.sparkSession)
+    rows = keep(docs.select(F.col("doc_id").cast("string").alias("id"), F.col("source").cast("string").alias("source"), text_key(F.col("text")).alias("text_key"), size_of(F.col("text")).alias("size"), source_key(F.col("source")).alias("sk")), "sizes")
+    sources = rows.groupBy("sk").agg(F.first("source").alias("source"), F.sum("size").alias("words"), F.count("*").alias("n"))
+    sources = keep(with_targets(sources, weights, share, most).select("sk", "words", "n", "target"), "targets")
+    long = F.col("size") * HEAVY > F.col("source_size")
+    known = lookup(rows, sources.select("sk", F.col("words").alias("source_size"), "n", "target"), "sk", "n", ("id", "text_key")).drop("n")
+    unit = lambda df, **made: df.select(*(made.get(c, F.col(c)) for c in _UNITS.names))
+    zero = {"bucket": F.lit(0).alias("bucket"), "copies": F.lit(0).alias("copies"), "p": F.lit(0.0).alias("p")}
+    heavy = unit(known.where(long), **zero).repartition("sk").sortWithinPartitions("sk").mapInArrow(_heavy, _UNIT)
+    heavy = keep(heavy, "heavy")
+    spent = heavy.groupBy("sk").agg(F.sum("size").alias("long"), F.sum(F.col("copies") * F.col("size")).alias("taken"), F.count("*").alias("n_long"))
+    # what is left of a source's target, as the copies that all its other documents start with
+    left = sources.join(spent.withColumnRenamed("sk", "sk2"), F.col("sk") == F.col("sk2"), "left").na.fill(0, ["long", "taken", "n_long"])
+    f = F.when(F.col("words") > F.col("long"), (F.col("target") - F.col("taken")) / (F.col("words") - F.col("long"))).otherwise(0.0)
+    left = left.select("sk", F.col("words").alias("source_size"), "target", F.greatest(F.lit(0.0), F.least(f, F.lit(float(most)))).alias("f"), (F.col("n") - F.col("n_long")).alias("n"))
+    left = keep(left.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("n") / BUCKET)).cast("int")), "left")
+    units = lookup(rows, left, "sk", "n", ("id", "text_key")).where(~long)
+    bucket = F.pmod(F.xxhash64(F.lit(17), "id", "text_key"), F.col("buckets")).cast("int").alias("bucket")
+    units = unit(units, bucket=bucket, copies=F.floor("f").cast("int").alias("copies"), p=(F.col("f") - F.floor("f")).alias("p"))
+    level, most_buckets, done = 0, left.agg(F.max("buckets")).first()[0] or 0, heavy
     while True:
         last = most_buckets <= 1
-
-        out = keep(units.groupBy("source", "bucket").applyInPandas(_rounding(level, last), schema), f"mix{level}")
-        settled = out if last else out.where("p = 0")
-        done = done.unionByName(settled)
+        out = keep(units.repartition("sk", "bucket").sortWithinPartitions("sk", "bucket").mapInArrow(_rounding(level, last), _UNIT), f"mix{level}")
+        done = done.unionByName(out if last else out.where("p = 0"))
         if last:
-            return done.drop("p", "bucket")
-        units = out.where("p > 0").withColumn("bucket", F.floor(F.col("bucket") / FAN_IN).cast("int"))
+            return done.select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("source").cast(docs.schema["source"].dataType).alias("source"), "text_key", "size", "source_size", "target", "copies")
+        units = unit(out.where("p > 0"), bucket=F.floor(F.col("bucket") / FAN_IN).cast("int").alias("bucket"))
         level, most_buckets = level + 1, math.ceil(most_buckets / FAN_IN)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix() over all documents: the words that the mix takes of each row, repeats counted."""
     mixed = mix(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 

@@ -82,10 +82,12 @@ def test_mixing_bounds(docs):
     assert sorted(map(key, rows)) == sorted(map(key, again))
 
 
-def test_targets_stop_at_twice_the_size():
-    got = mixing.targets({"a": 10, "b": 1000, "c": 1000, None: 0})
+def test_targets_stop_at_twice_the_size(spark):
+    table = spark.createDataFrame([("a", 10, 1), ("b", 1000, 1), ("c", 1000, 1), (None, 0, 1)], "source string, words long, n long")
+    got = {r.source: r.target for r in mixing.with_targets(table).collect()}
     assert got["a"] == 20 and got[None] == 0 and abs(sum(got.values()) - 1.5 * 2010) < 1e-6
     assert abs(got["b"] / got["c"] - 2) < 1e-9
+    assert mixing.with_targets(table.limit(0)).count() == 0
 
 
 def test_toxicity_without_labels(spark, docs):

@@ -70,6 +70,24 @@ def test_random_tokens_of_any_length_and_class(spark):
     assert not any(found[i] for i in range(24, 27))
 
 
+def test_reported_secrets_hold_the_rate_of_false_discoveries(spark):
+    rng = random.Random(8)
+    verbs, nouns = "fetch parse render merge split encode decode resolve validate refresh publish archive".split(), "widget socket buffer ledger invoice tenant cluster segment voucher shipment calendar gradient".split()
+    word = lambda: rng.choice(verbs + nouns)
+    forms = [lambda: word() + "".join(word().capitalize() for _ in range(rng.randint(2, 9))), lambda: "_".join(word() for _ in range(rng.randint(3, 9))) + "_v2", lambda: "/".join(word() for _ in range(rng.randint(3, 9))), lambda: "-".join([word() for _ in range(rng.randint(3, 9))] + [str(rng.randint(1, 99))]), lambda: "_".join(word().upper() for _ in range(rng.randint(3, 9)))]
+    plain = [t for t in (rng.choice(forms)() for _ in range(3000)) if len(t) >= 20]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choices(letters, k=n)) for n in (22, 32, 40, 48, 64, 100, 150) for _ in range(60)]
+    rows = [(i, f"see {t} here") for i, t in enumerate(keys + plain)]
+    found = {r.doc_id for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).where(F.size("random") > 0).collect()}
+    for low, high in zip(secrets.LENGTHS, (*secrets.LENGTHS[1:], 1000)):
+        mine = {i for i, t in enumerate(keys + plain) if low <= len(t) < high}
+        false, right = len([i for i in found & mine if i >= len(keys)]), len([i for i in found & mine if i < len(keys)])
+        assert right >= (0.75 if low < 32 else 0.95) * len([i for i in mine if i < len(keys)]) and false <= 2 * secrets.RATE * (false + right) + 1
+    names = ["getUserProfileById2024", "en_US_locale_settings_v2", "model-training-checkpoint-12", "src/main/java/com/example/Service", "550e8400-e29b-41d4-a716-446655440000", "2024-01-15-12-30-45-0001", "MAX_CONNECTION_POOL_SIZE"] * 30
+    assert secrets.scan(spark.createDataFrame(enumerate(names), "doc_id long, text string")).where(F.size("random") > 0).count() == 0
+
+
 def luhn(figures):
     total = 0
     for i, c in enumerate(reversed(figures)):
@@ -257,10 +275,47 @@ def test_toxicity_counts_all_of_long_words():
     assert scorer.features(calm + "卑劣な愚か者")[mean] > scorer.features(calm + "散歩をした")[mean]
 
 
+def plain_targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
+    """Targets in the plain way: one source after another."""
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {x: weights[i % 3] for i, x in enumerate(order)}
+    fixed, left = {}, share * sum(sizes.values())
+    while len(fixed) < len(order):
+        unit = left / sum(weight[x] for x in order if x not in fixed)
+        over = [x for x in order if x not in fixed and unit * weight[x] > most * sizes[x]]
+        if not over:
+            return fixed | {x: unit * weight[x] for x in order if x not in fixed}
+        for x in over:
+            fixed[x] = most * sizes[x]
+            left -= fixed[x]
+    return fixed
+
+
 def test_mix_meets_targets(spark):
     rows = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet")).groupBy("source").agg(F.max("target").alias("t"), F.max("source_size").alias("n"), F.sum("size").alias("s"), F.sum(F.col("copies") * F.col("size")).alias("k")).collect()
-    goal = mixing.targets({r.source: r.s for r in rows})
-    assert all(r.n == r.s and abs(r.t - goal[r.source]) < 1e-6 and abs(r.k - r.t) <= 0.02 * r.t for r in rows)
+    goal = plain_targets({r.source: r.s for r in rows})
+    assert all(r.n == r.s and abs(r.t - goal[r.source]) < 1e-6 * (1 + r.t) and abs(r.k - r.t) <= 0.02 * r.t for r in rows)
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(4)
+    sizes = {f"h{i}é" * (i % 3 + 1): rng.choice([0, 1, 5, 100, 10_000]) * rng.randint(1, 9) for i in range(500)} | {None: 77, "": 3, "\U0001f600": 9}
+    table = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, words long, n long")
+    got = {r.source: r.target for r in mixing.with_targets(table).collect()}
+    goal = plain_targets(sizes)
+    assert got.keys() == goal.keys() and all(abs(got[s] - goal[s]) <= 1e-6 * (1 + goal[s]) for s in goal)
+
+
+def test_mix_returns_the_ids_it_was_given(spark):
+    ids = [(1 << 60) + 3 * i for i in range(3000)] + [None, None]
+    docs = spark.createDataFrame([(x, "a b c " * (i % 7), "host" if i % 3 else f"host{i}") for i, x in enumerate(ids)], "doc_id long, text string, source string")
+    rows = mixing.mix(docs).collect()
+    assert sorted((str(r.doc_id) for r in rows)) == sorted(map(str, ids))
+    taken, goal = Counter(), {}
+    for r in rows:
+        taken[r.source] += r.copies * r.size
+        goal[r.source] = r.target
+    assert abs(taken["host"] - goal["host"]) <= 18 and all(0 <= r.copies <= 2 for r in rows)
 
 
 def test_pivot_keeps_the_sum():

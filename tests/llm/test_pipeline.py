@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillspark.llm import bpe, mixing, quality
+from quillspark.llm import bpe, quality
 
-from .test_exact import PII, spans_of, true_classes
+from .test_exact import PII, plain_targets, spans_of, true_classes
 
 SF = "/root/testdata/sf0.01"
 
@@ -46,7 +46,7 @@ def test_pipeline(spark):
     for i, t in texts.items():
         sizes[source[i]] += len(t.encode().split())
         taken[source[i]] += copies[i] * len(t.encode().split())
-    goal = mixing.targets(sizes)
+    goal = plain_targets(sizes)
     assert all(abs(taken[s] - goal[s]) <= 0.03 * goal[s] + 30 for s in sizes)
     library = Tokenizer.from_file(bpe.default_vocabulary())
     for r in got:
