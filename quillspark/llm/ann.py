@@ -70,13 +70,14 @@ class Tree:
                     todo.append((below, part))
         return out
 
-    def visit(self, q: np.ndarray, most: int) -> list[int]:
-        """The first `most` leaves of a query, best bin first."""
-        queue, found = [(0.0, 0)], []
-        while queue and len(found) < most:
+    def visit(self, q: np.ndarray, most: int, sizes: np.ndarray | None = None, rows: int = 0) -> list[int]:
+        """The first leaves of a query, best bin first: `most`, and more until they hold `rows` rows."""
+        queue, found, held = [(0.0, 0)], [], 0
+        while queue and (len(found) < most or held < rows):
             _, node = heapq.heappop(queue)
             if node < 0:
                 found.append(-1 - node)
+                held += rows if sizes is None else int(sizes[-1 - node])
                 continue
             for d, below in zip(_distances(q[None], self.centres[node])[0].tolist(), self.below[node]):
                 heapq.heappush(queue, (d, below))
@@ -101,8 +102,8 @@ def scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def best(parts: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, own: int, k: int) -> list[tuple[int, float]]:
-    """Of parts (ids, rows), the k rows with the largest inner products, ties to the smaller id, without the
-    query's own."""
+    """(place among all, inner product) of the k rows of parts (ids, rows) with the largest inner products, ties to the
+    smaller id, without those of the query's own id."""
     ids = np.concatenate([p[0] for p in parts])
     rough = np.concatenate([p[1] @ q for p in parts])
     at = np.flatnonzero(ids != own)
@@ -114,7 +115,7 @@ def best(parts: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, own: int, k:
     x = np.array([parts[i][1][j - ends[i] + len(parts[i][0])] for i, j in zip(part.tolist(), at.tolist())]).reshape(len(at), len(q))
     exact = scores(x, q)
     order = np.lexsort((ids[at], -exact))[:k]
-    return list(zip(ids[at][order].tolist(), exact[order].tolist()))
+    return list(zip(at[order].tolist(), exact[order].tolist()))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -133,23 +134,21 @@ def _lifted(x: np.ndarray, longest: float) -> np.ndarray:
     return np.c_[x, np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0))]
 
 
-def exact_search(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> dict[int, list[tuple[int, float]]]:
-    """A stated set of queries against all rows in blocks; each block sends k rows a query at most."""
-    found = rows.sparkSession.sparkContext.broadcast((ids, queries))
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+def exact_search(rows: DataFrame, queries: list[tuple[int, int]], x: np.ndarray, k: int) -> dict[int, list[tuple[int, float, int]]]:
+    """A stated set of queries (row, vec_id) with vectors x against all rows(vec_id, x, leaf) in blocks; each block sends
+    k rows a query at most. By the query's row: (vec_id, score, leaf) of the nearest."""
+    found = rows.sparkSession.sparkContext.broadcast((queries, x))
+    schema = pa.schema([("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("leaf", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            out = [(q, *r) for q, v in zip(found.value[0].tolist(), found.value[1]) for r in best([(own, x)], v, q, k)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*zip(*out)] or [()] * 3, schema)], schema=schema)
-
-    merged = rows.mapInArrow(run, "query_id bigint, vec_id bigint, score double").groupBy("query_id").agg(_top(k).alias("t"))
-    return {r.query_id: [(x.vec_id, -x.s) for x in r.t] for r in merged.collect()}
+            own, leaf, x = batch.column(0).to_numpy(), batch.column(2).to_numpy(), _matrix(batch.column(1))
+            out = [(row, int(own[i]), score, int(leaf[i])) for (row, q), v in zip(*found.value) for i, score in best([(own, x)], v, q, k)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*zip(*out)] or [()] * 4, schema)], schema=schema)
 
-
-def _top(k: int):
-    return F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
+    merged = rows.select("vec_id", "x", "leaf").mapInArrow(run, "row bigint, vec_id bigint, score double, leaf int")
+    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "leaf"))), 1, k)
+    return {r.row: [(x.vec_id, -x.s, x.leaf) for x in r.t] for r in merged.groupBy("row").agg(top.alias("t")).collect()}
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
@@ -157,39 +156,41 @@ def search(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     other rows. Returns query_id, rank, vec_id, score: k rows a query, all candidates if there are fewer.
 
     Vectors that usable() leaves out take no part; all others have one length. Ties go to the smaller
-    vec_id. A query's own id is no candidate; rows that repeat an id are one vector each, and a query too.
-    An empty table gives none. The tree is fitted on SAMPLE rows at most, but holds all.
+    vec_id. Rows of a query's own id are no candidates. Rows that repeat an id are a vector each, with a place of its
+    own in the results of others, and a query each: its k rows come once for each of them. Other columns aren't read.
+    An empty table gives none. A query opens leaves, best first, until it has opened as many as calibrated and
+    these hold k rows besides its own id's. The tree is fitted on SAMPLE rows at most, but holds all.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    rows = keep(usable(vectors), "vectors")
+    rows = keep(usable(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors")  # written, so rows keep their numbers
     n, longest = rows.agg(F.count("*"), F.sqrt(F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)))).first()
     if not n:
         return empty
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
+    repeated = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1
+    sample = rows.select("vec_id", "x").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
     x = _matrix(sample.column(1).combine_chunks())
     tree = Tree(_lifted(x, longest), min(LEAVES, math.ceil(n / LEAF)))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             leaf = index.value.place(_lifted(_matrix(batch.column(1)), longest)) if batch.num_rows else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int32())], names=["vec_id", "x", "leaf"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int32())], names=["vec_id", "x", "row", "leaf"])
 
     index = spark.sparkContext.broadcast(tree)
-    rows = keep(rows.mapInArrow(placed, "vec_id bigint, x array<double>, leaf int"), "placed")
+    rows = keep(rows.mapInArrow(placed, "vec_id bigint, x array<double>, row bigint, leaf int"), "placed")
     queries = rows.where(F.col("vec_id") % every == 0)
     # calibration: the leaves of the true neighbours of some queries, in the order of their visits
-    probes = queries.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(PROBES).toArrow()
+    probes = queries.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id", "row").limit(PROBES).toArrow()
     visits = 1
     if probes.num_rows:
-        ids, q = probes.column(0).combine_chunks().to_numpy(), _matrix(probes.column(1).combine_chunks())
-        true = exact_search(rows.select("vec_id", "x"), ids, q, k)
-        wanted = rows.join(F.broadcast(spark.createDataFrame([(v,) for v in {v for t in true.values() for v, _ in t}] or [(None,)], "v bigint")), F.col("vec_id") == F.col("v"))  # PROBES * k ids
-        leaf = {r.vec_id: r.leaf for r in wanted.select("vec_id", "leaf").collect()}
+        q = _matrix(probes.column(1).combine_chunks())
+        asked = list(zip(probes.column(2).to_pylist(), probes.column(0).to_pylist()))
+        true = exact_search(rows, asked, q, k)
         need: list[int] = []
-        for i, v in zip(ids.tolist(), q):
+        for (row, _), v in zip(asked, q):
             order = {x: j + 1 for j, x in enumerate(tree.visit(np.r_[v, 0.0], tree.leaves))}
-            need += (order[leaf[x]] for x, _ in true.get(i, []))
+            need += (order[leaf] for _, _, leaf in true.get(row, []))
         need.sort()
         visits = need[min(len(need) - 1, math.ceil(RECALL * len(need)) - 1)] if need else 1
 
@@ -205,33 +206,35 @@ def search(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
         if size > room:
             last, room = last + 1, GROUP
         groups[leaf], room = (max(last, 0), 1), room - size
-    dealt = spark.sparkContext.broadcast(groups)
+    dealt = spark.sparkContext.broadcast((groups, np.array([sizes.get(leaf, 0) for leaf in range(tree.leaves)])))
+    enough = k + repeated
 
     def visiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, group, leaves = [], [], []
+            groups, sizes = dealt.value
             for j, v in enumerate(_matrix(batch.column(1))):
                 asked: dict[int, list[int]] = {}
-                for leaf in index.value.visit(np.r_[v, 0.0], visits):
-                    first, chunks = dealt.value[leaf]
+                for leaf in index.value.visit(np.r_[v, 0.0], visits, sizes, enough):
+                    first, chunks = groups[leaf]
                     for g in range(first, first + chunks):
                         asked.setdefault(g, []).append(leaf)
                 at += [j] * len(asked)
                 group += asked
                 leaves += asked.values()
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), batch.column(0).take(take), batch.column(1).take(take), pa.array(leaves, pa.list_(pa.int32()))], names=["g", "vec_id", "x", "leaves"])
+            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(leaves, pa.list_(pa.int32()))], names=["g", "vec_id", "x", "row", "leaves"])
 
     place = F.broadcast(spark.createDataFrame([(leaf, *p) for leaf, p in groups.items()], "leaf int, f int, c int"))  # LEAVES rows
-    members = rows.join(place, "leaf").select((F.col("f") + F.pmod(F.xxhash64("vec_id"), F.col("c")).cast("int")).alias("g"), F.lit(1).alias("role"), "leaf", "vec_id", "x", F.lit(None).cast("array<int>").alias("leaves"))
-    asked = queries.select("vec_id", "x").mapInArrow(visiting, "g int, vec_id bigint, x array<double>, leaves array<int>").select("g", F.lit(2).alias("role"), F.lit(-1).alias("leaf"), "vec_id", "x", "leaves")
-    schema = pa.schema([("query_id", pa.int64()), ("found", pa.list_(pa.struct([("s", pa.float64()), ("vec_id", pa.int64())])))])
+    members = rows.join(place, "leaf").select((F.col("f") + F.pmod(F.xxhash64("vec_id"), F.col("c")).cast("int")).alias("g"), F.lit(1).alias("role"), "leaf", "vec_id", "x", "row", F.lit(None).cast("array<int>").alias("leaves"))
+    asked = queries.select("vec_id", "x", "row").mapInArrow(visiting, "g int, vec_id bigint, x array<double>, row bigint, leaves array<int>").select("g", F.lit(2).alias("role"), F.lit(-1).alias("leaf"), "vec_id", "x", "row", "leaves")
+    schema = pa.schema([("row", pa.int64()), ("query_id", pa.int64()), ("found", pa.list_(pa.struct([("s", pa.float64()), ("vec_id", pa.int64())])))])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, data = None, [], {}
         for batch in batches:
             g, role, leaf, vec = (batch.column(i).to_numpy() for i in range(4))
-            x, wanted, out = _matrix(batch.column(4)), batch.column(5), []
+            x, row, wanted, out = _matrix(batch.column(4)), batch.column(5).to_numpy(), batch.column(6), []
             cuts = [0, *(np.flatnonzero((np.diff(g) != 0) | (np.diff(role) != 0) | (np.diff(leaf) != 0)) + 1).tolist(), len(g)]
             for a, b in zip(cuts, cuts[1:]) if len(g) else ():
                 if g[a] != at:
@@ -246,13 +249,15 @@ def search(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
                 for j in range(a, b):
                     parts = [data[i] for i in wanted[j].as_py() if i in data]
                     if parts:
-                        out.append((int(vec[j]), [{"s": -s, "vec_id": v} for v, s in best(parts, x[j], int(vec[j]), k)]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*zip(*out)] or [()] * 2, schema)], schema=schema)
+                        ids = np.concatenate([p[0] for p in parts])
+                        out.append((int(row[j]), int(vec[j]), [{"s": -s, "vec_id": int(ids[i])} for i, s in best(parts, x[j], int(vec[j]), k)]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*zip(*out)] or [()] * 3, schema)], schema=schema)
 
-    met = members.unionByName(asked).repartition("g").sortWithinPartitions("g", "role", "leaf").mapInArrow(answer, "query_id bigint, found array<struct<s:double,vec_id:bigint>>")
-    top = met.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("t")).select("query_id", F.posexplode("t").alias("i", "r"))
+    met = members.unionByName(asked).repartition("g").sortWithinPartitions("g", "role", "leaf").mapInArrow(answer, "row bigint, query_id bigint, found array<struct<s:double,vec_id:bigint>>")
+    top = met.groupBy("row", "query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("t")).select("query_id", F.posexplode("t").alias("i", "r"))
     return top.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("r.vec_id").alias("vec_id"), (-F.col("r.s")).alias("score"))
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """search() over all embeddings: query_id, rank, vec_id, score."""
     return search(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
