@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import new_folder, prepare, read_table, same
 
-#: Records of an archive at most, bytes inflated at a time.
-ARCHIVE_RECORDS, CHUNK = 2048, 1 << 16
+#: Bytes from which an archive is closed, bytes inflated at a time.
+ARCHIVE, CHUNK = 1 << 24, 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: gzip ends with the length mod 2**32, so its last byte is 0 below this length.
 SHORT = 1 << 24
@@ -136,6 +137,8 @@ def read_archive(data: bytes, payloads: bool = False) -> Iterator[tuple]:
 def write(pages: DataFrame, path: str, least: int = 0) -> None:
     """Writes pages(page_id, url, html) to archives under path, each a file of whole gzip members.
 
+    An archive ends with the record that takes it to ARCHIVE bytes, so a task holds that and one record.
+
     Null html is an empty payload, null urls get a urn. Among equal payloads of `least` bytes or more the
     smallest page_id is the response, other ids revisit it; rows that repeat that id are responses too, and
     rows without an id revisit it. An empty table writes no record. Other columns are not archived.
@@ -147,31 +150,42 @@ def write(pages: DataFrame, path: str, least: int = 0) -> None:
     joined = rows.join(firsts, (rows["sha"] == firsts["of"]) & (F.octet_length("html") >= least), "left")
     joined = joined.select("page_id", "url", "html", "sha", F.when(~same(F.col("page_id"), F.col("first")), F.col("first")).alias("first"))
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = bytearray()
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([bytes(held[:-1])], pa.binary())], ["archive"])
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                html = part.column(2).cast(pa.binary()).to_pylist()
-                made = [record(page, url, data, base64.b32encode(bytes.fromhex(sha)).decode(), first)[:-1] for page, url, data, sha, first in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), html, part.column(3).to_pylist(), part.column(4).to_pylist())]
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["member"])
+            for row in (batch.slice(i, 1) for i in range(batch.num_rows)):  # a payload at a time
+                page, url, html, sha, first = (row.column(c).cast(pa.binary())[0].as_py() if c == 2 else row.column(c)[0].as_py() for c in range(5))
+                held += record(page, url, html, base64.b32encode(bytes.fromhex(sha)).decode(), first)
+                if len(held) >= ARCHIVE:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
 
-    # the text writer puts back the zero byte with which each member ends
-    made = joined.mapInArrow(members, "member binary").select(F.col("member").cast("string").alias("value"))
-    made.write.option("lineSep", "\0").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    # a row is an archive and a file; the text writer puts back the zero byte with which each member ends
+    made = joined.mapInArrow(archives, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    made.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the archives under path, each archive read in sequence by one task."""
+    """The records of the archives under path, each archive read in sequence by one task, CHUNK bytes inflated at a time.
+
+    Archives of write() have ARCHIVE bytes and a record at most; of others a task holds one at a time.
+    """
+
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
-                rows = [*read_archive(data.as_py())]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([*zip(*rows)] or [()] * 5, FOUND)], schema=FOUND)
+                found = read_archive(data.as_py())
+                while rows := [*itertools.islice(found, 1000)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), FOUND)], schema=FOUND)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(records, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages to archives in the shared folder and reads them back, one row a page."""
     path = new_folder(spark, "warc")
     write(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     return read(spark, path)
