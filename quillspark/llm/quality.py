@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, prepare, read_table, stage_of
+from .common import arrow, keep, prepare, read_table, stage_of
 
 MEASURES = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_lines:bigint,n_repeat_words:bigint,n_upper_words:bigint>"
 #: (rule, SQL over the measurements); a rule's bit is its place. Integers only: every engine agrees.
@@ -85,29 +85,36 @@ def fail_bits(measures: str) -> Column:
     return F.expr(re.sub(r"\b(n_\w+|word_chars)\b", rf"{measures}.\1", " | ".join(bits))).cast("bigint")
 
 
-def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `_m` (measurements) and `_bits` (failed rules).
+def ledger(docs: DataFrame, text: str = "text", measures: str = "measures", bits: str = "fail_bits") -> DataFrame:
+    """docs with a column `measures` (measurements) and `bits` (failed rules, one bit each).
 
     Null and empty texts measure zero and fail too_few_words. Rows are judged one by one: repeated rows
-    get the same ledger line each; other columns pass through untouched. An empty table stays empty.
+    get the same ledger line each; a column of docs with one of the two names gives way, all others pass through
+    untouched. An empty table stays empty.
     """
     prepare(docs.sparkSession)
-    return docs.withColumn("_m", arrow(_measured, MEASURES)(F.col(text))).withColumn("_bits", fail_bits("_m"))
+    return docs.withColumn(measures, arrow(_measured, MEASURES)(F.col(text))).withColumn(bits, fail_bits(measures))
 
 
-def passes(policy: Policy, bits: str = "_bits") -> Column:
+def stored(docs: DataFrame, *columns: str) -> DataFrame:
+    """The ledger of docs, written to the shared folder: `columns` of docs, measures, fail_bits. Policies and
+    ablations read it; the texts are never measured again."""
+    return keep(ledger(docs).select(*columns, "measures", "fail_bits"), "ledger")
+
+
+def passes(policy: Policy, bits: str = "fail_bits") -> Column:
     return F.col(bits).bitwiseAND(F.lit(policy.mask)) == 0
 
 
 def ablations(found: DataFrame, policies: Iterable[Policy] = (BASE, CURRENT)) -> DataFrame:
-    """For each policy and rule: documents that fail it, and those that only it rejects.
+    """found, a ledger: for each policy and rule the documents that fail it, and those that only it rejects.
 
     At most 2 ** len(RULES) bit patterns leave the first aggregation, whatever the corpus holds.
     """
-    patterns = found.groupBy("_bits").agg(F.count("*").alias("n"))
+    patterns = found.groupBy("fail_bits").agg(F.count("*").alias("n"))
     parts = []
     for policy in policies:
-        masked = F.col("_bits").bitwiseAND(F.lit(policy.mask))
+        masked = F.col("fail_bits").bitwiseAND(F.lit(policy.mask))
         for rule in policy.rules:
             bit = Policy("", (rule,)).mask
             parts.append(F.struct(F.lit(policy.version).alias("policy"), F.lit(rule).alias("rule"), (masked.bitwiseAND(F.lit(bit)) != 0).cast("bigint").alias("failed"), (masked == bit).cast("bigint").alias("only")))
@@ -116,18 +123,20 @@ def ablations(found: DataFrame, policies: Iterable[Policy] = (BASE, CURRENT)) ->
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ledger(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", *(f"_m.{x}" for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), (~passes(BASE)).alias("base_failed"), passes(CURRENT).alias("kept"), F.col("_bits").alias("fail_bits"))
+    """The stored ledger of all documents under the base and the current policy."""
+    found = stored(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return found.select("doc_id", *(f"measures.{x}" for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), (~passes(BASE)).alias("base_failed"), passes(CURRENT).alias("kept"), "fail_bits")
 
 
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ablations(ledger(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    """Ablations of both policies over the stored ledger of all documents."""
+    return ablations(stored(read_table(spark, sf_dir, "documents").select("text")))
 
 
 @stage_of("text")
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy keeps."""
-    return ledger(docs).where(passes(CURRENT)).drop("_m", "_bits")
+    return ledger(docs, measures="_m", bits="_bits").where(passes(CURRENT, "_bits")).drop("_m", "_bits")
 
 
 _WORDS = r"[^\x20\x09-\x0D]+"
