@@ -3,13 +3,14 @@
 Two interpolated Kneser-Ney models spell words character by character, one after toxic documents, one after
 ordinary ones. Their long contexts have counts of their own, the short ones share continuation counts, so
 a rare expression, or a rare form of one, borrows from what it looks like. A word's evidence is the
-difference of its two log-likelihoods, a document's the mean over all its words and the strongest of them,
-each normalised by length; a logistic curve fitted on labelled rows of their own makes it a score.
+difference of its two log-likelihoods by character; a document's is the difference by character over all it has,
+and the strongest of its words. A logistic curve fitted on labelled rows of their own makes it a score.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -99,7 +100,7 @@ class KneserNey:
         return max(counts.get(gram, 0) - DISCOUNT, 0) / total + DISCOUNT * types / total * lower
 
     def evidence(self, word: str) -> float:
-        """Toxic minus ordinary log-likelihood of a word."""
+        """Toxic minus ordinary log-likelihood of a word, all characters and its end together."""
         s, out, memory = f"\x02{word}\x03", 0.0, self.memory[0]
         for i in range(1, len(s)):
             gram = s[max(0, i + 1 - ORDER) : i + 1]
@@ -125,9 +126,9 @@ class Scorer:
             known.clear()
         for w in set(words).difference(known):
             known[w] = self.model.evidence(w)
-        found = sorted({w: known[w] for w in words}.values(), reverse=True)[:STRONGEST]
-        every = [known[w] for w in words]
-        return [*found, *[min(found[-1], 0.0)] * (STRONGEST - len(found)), sum(every) / len(words), sum(x for x in every if x > 0) / len(words), math.log(len(words))]
+        found = sorted((known[w] / (len(w) + 1) for w in {*words}), reverse=True)[:STRONGEST]
+        every, length = [known[w] for w in words], sum(map(len, words)) + len(words)
+        return [*found, *[min(found[-1], 0.0)] * (STRONGEST - len(found)), sum(every) / length, sum(x for x in every if x > 0) / length, math.log(len(words))]
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,14 +175,14 @@ class _Words:
         return self.broadcast.value
 
 
-def with_features(docs: DataFrame, words: _Words) -> DataFrame:
-    """docs with `_x`, the features of the text; null texts count as empty."""
+def with_features(docs: DataFrame, words: _Words, out: str = "_x") -> DataFrame:
+    """docs with a column `out`, the features of the text; null texts count as empty."""
 
     def run(texts: pa.Array) -> pa.Array:
         scorer = _scorer(words)
         return pa.array([scorer.features(t or "") for t in texts.to_pylist()], pa.list_(pa.float64()))
 
-    return docs.withColumn("_x", arrow(run, "array<double>")(F.col("text")))
+    return docs.withColumn(out, arrow(run, "array<double>")(F.col("text")))
 
 
 def fold() -> Column:
@@ -232,18 +233,24 @@ def train(docs: DataFrame, labels: DataFrame, model_docs: int = MODEL_DOCS, curv
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with `score` from 0 to 1, from the text alone. Every row has one; null and empty texts that of no words."""
+    """docs with `score` from 0 to 1, from the text alone. Every row has one; null and empty texts that of no words.
+
+    Rows that repeat have the same score each, an empty table stays empty. A column of docs named score gives way, all
+    others pass through untouched.
+    """
     if model.words is None:
         return docs.withColumn("score", F.lit(model.constant))
     mean, scale, w = (x.tolist() for x in model.curve)
+    x = f"_x{uuid.uuid4().hex}"  # no column of docs
     linear = F.lit(w[-1])
     for i in range(FEATURES):
-        linear = linear + (F.col("_x")[i] - mean[i]) / scale[i] * w[i]
+        linear = linear + (F.col(x)[i] - mean[i]) / scale[i] * w[i]
     linear = F.least(F.greatest(linear, F.lit(-700.0)), F.lit(700.0))
-    return with_features(docs, model.words).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-linear))).drop("_x")
+    return with_features(docs, model.words, x).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-linear))).drop(x)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scored() over all documents, by a model of the labelled rows outside fold 0."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, read_table(spark, sf_dir, "labels"))
     held = F.coalesce(fold() == 0, F.lit(False)).alias("held_out")
