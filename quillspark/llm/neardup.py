@@ -1,8 +1,9 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles.
 
-Shingles are five consecutive words, weighted by tf * idf. The idf is damped to 1..2,
-1 + ln(N / df) / ln(N), with document frequencies over all documents counted in DF_BUCKETS hashed
-counters, so that frequent passages weigh less but copies of a large group still look alike. Weighted
+Shingles are five consecutive words, weighted by tf * idf. The idf is damped to 1..2: 2 for shingles in under RARE of
+all documents, 1 + ln(N / df) / ln(1 / RARE) for others, so that frequent passages weigh less but copies of a large
+group still look alike. It depends on shares of the corpus, never on its size. Document frequencies are exact
+and over all documents: hashed counters tell which shingles may be frequent, those are then counted one by one. Weighted
 samples of a document are hashed in bands; documents of a bucket are compared with its leader by their
 sketches, then each with the one of another class that it resembles most, then all that are still in
 different classes with each other. Every pair so found is verified by the exact weighted Jaccard similarity
@@ -21,58 +22,99 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow, components, keep, prepare, read_table, same, stage_of
+from .common import BATCH_ROWS, arrow, components, keep, prepare, read_table, same, stage_of
 from .substrings import sequence_hashes, word_hashes
 
 SHINGLE, LEAST = 5, 0.8
 #: Misses a pair at 0.8 with probability (1 - 0.8 ** ROWS) ** BANDS, 4e-5.
 BANDS, ROWS = 14, 3
-DF_BUCKETS = 1 << 18
+#: Share of the documents from which a shingle counts as frequent. At most (distinct shingles of a mean document) / RARE are.
+RARE = 1e-3
+#: Hashed counters of a task, and counters in a row that they travel in.
+COUNTERS, CHUNK = 1 << 20, 1 << 12
 #: Of the sketch's places, how many must agree for a pair to be verified: four deviations below 0.8.
 SKETCH_LEAST = 0.55
 #: Members that meet one copy of their leader; documents of a bucket that a task compares with as many others.
 MEET, BLOCK = 256, 512
 
 
-def shingles(text: bytes, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def shingles(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes, ascending, and how often each occurs; a shorter text is one shingle."""
+    return np.unique(_hashes(text), return_counts=True)
+
+
+def _buckets(found: np.ndarray) -> np.ndarray:
+    return (found & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def _hashes(text: bytes) -> np.ndarray:
+    """Shingles as they come, repeats included."""
     words = text.split()
-    if not words:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.unique(sequence_hashes(word_hashes(words), min(n, len(words))), return_counts=True)
+    return sequence_hashes(word_hashes(words), min(SHINGLE, len(words))) if words else np.empty(0, np.uint64)
 
 
-def document_frequencies(texts: DataFrame) -> np.ndarray:
-    """Documents by hashed shingle: DF_BUCKETS sums, whatever the corpus holds."""
-    schema = pa.schema([("b", pa.int32()), ("n", pa.int64())])
+def frequent_buckets(texts: DataFrame, least: float) -> np.ndarray:
+    """Which hashed counters reach `least` occurrences over all texts; the shingles of others are rarer than that."""
+    made, sums = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())]), pa.schema([("b", pa.int32())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(DF_BUCKETS, np.int64)
+        total = np.zeros(COUNTERS, np.int32)
         for batch in batches:
             data = batch.column(0).cast(pa.binary())
             for i in range(0, len(data), 128):
-                found = [shingles(t or b"")[0] for t in data.slice(i, 128).to_pylist()]
-                total += np.bincount((np.concatenate(found) & np.uint64(DF_BUCKETS - 1)).astype(np.int64), minlength=DF_BUCKETS)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 1 << 14):
-            part = at[i : i + (1 << 14)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], schema=schema)
-
-    out = np.zeros(DF_BUCKETS, np.int64)
-    sums = texts.mapInArrow(count, "b int, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
-    out[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
+                np.add.at(total, _buckets(np.concatenate([_hashes(t or b"") for t in data.slice(i, 128).to_pylist()])), 1)
+        chunks = [(i, c.tobytes()) for i, c in enumerate(total.reshape(-1, CHUNK)) if c.any()]
+        yield from _batches(iter(chunks), made, 64)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                held[chunk] = held.get(chunk, 0) + np.frombuffer(counts, np.int32).astype(np.int64)
+        yield from _batches(((chunk * CHUNK + b,) for chunk, n in held.items() for b in np.flatnonzero(n >= least).tolist()), sums)
+
+    chunks = texts.mapInArrow(count, "chunk int, counts binary").repartition("chunk")
+    out = np.zeros(COUNTERS, bool)
+    out[chunks.mapInArrow(add, "b int").toArrow().column(0).to_numpy()] = True
     return out
 
 
-def idf_table(df: np.ndarray, n: int) -> np.ndarray:
-    if n < 2:
-        return np.ones(len(df), np.float32)
-    return np.clip(1 + np.log(n / np.maximum(df, 1)) / math.log(n), 1, 2).astype(np.float32)
+def document_frequencies(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (ascending) in RARE of all n documents or more, and in how many each is."""
+    maybe = texts.sparkSession.sparkContext.broadcast(np.packbits(frequent_buckets(texts, RARE * n)))
+    schema = pa.schema([("s", pa.int64()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may = np.unpackbits(maybe.value).astype(bool)
+        for batch in batches:
+            data = batch.column(0).cast(pa.binary())
+            for i in range(0, len(data), BATCH_ROWS):
+                found = [np.unique(h[may[_buckets(h)]]) for h in (_hashes(t or b"") for t in data.slice(i, BATCH_ROWS).to_pylist())]
+                of, times = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(of.view(np.int64)), pa.array(times.astype(np.int64))], schema=schema)
+
+    sums = texts.mapInArrow(count, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= RARE * n).toArrow()
+    found, df = (sums.column(i).to_numpy() for i in (0, 1))
+    order = np.argsort(found.view(np.uint64))
+    return found.view(np.uint64)[order], df[order]
+
+
+class Idf:
+    """Weights of shingles: those of frequent ones by name, 2 for all others."""
+
+    def __init__(self, found: np.ndarray, df: np.ndarray, n: int) -> None:
+        self.found, self.weight = found, np.clip(1 + np.log(n / np.maximum(df, 1)) / math.log(1 / RARE), 1.0, 2.0)
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        if not len(self.found):
+            return np.full(len(s), 2.0)
+        at = np.minimum(np.searchsorted(self.found, s), len(self.found) - 1)
+        return np.where(self.found[at] == s, self.weight[at], 2.0)
 
 
-def weigh(text: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def weigh(text: bytes, idf: Idf) -> tuple[np.ndarray, np.ndarray]:
     s, tf = shingles(text)
-    return s, tf * idf[(s & np.uint64(DF_BUCKETS - 1)).astype(np.int64)].astype(np.float64)
+    return s, tf * idf.of(s)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -352,7 +394,7 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     prepare(spark)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = docs.count()
-    idf = spark.sparkContext.broadcast(idf_table(document_frequencies(docs.select("text")), n))
+    idf = spark.sparkContext.broadcast(Idf(*document_frequencies(docs.select("text"), n), n))  # under 16 bytes / RARE a shingle of a mean document
 
     def sketch(texts: pa.Array) -> pa.Array:
         keys, bytes_ = [], []
@@ -379,6 +421,7 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
 
 def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """classes() of all documents: doc_id and the least doc_id of its class, one row a row."""
     return classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
