@@ -189,7 +189,8 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, text: str = "text",
     """docs with a struct column: n_tokens, ids_sha256, decoded_sha256, and with texts=True ids and decoded.
 
     Whole texts are encoded. A null text counts as empty and has no tokens. Rows are independent:
-    repeated rows repeat, an empty table stays empty, other columns pass through untouched.
+    repeated rows repeat, an empty table stays empty; a column of docs named as `out` gives way, all others pass
+    through untouched.
     vocabulary: a tokenizers file on the driver (a few MB, fixed size), broadcast to the workers.
     """
     spark = docs.sparkSession
@@ -214,6 +215,7 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, text: str = "text",
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """encoded() over all documents: number and digests of ids and decoded text, one row a row."""
     return encoded(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "_bpe.*")
 
 

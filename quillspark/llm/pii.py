@@ -26,9 +26,10 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 #: Generators of proposals: anything like a number in groups, an address in words, an account.
-NUMBER = r"(?<![A-Za-z0-9.+])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,24}(?![A-Za-z0-9])"
-WORDED = r"(?i)(?<![a-z0-9])[a-z0-9][a-z0-9._%+-]{0,63}\x20?[\[({]\x20?at\x20?[\])}]\x20?[a-z0-9-]{1,63}(?:\x20?(?:[\[({]\x20?dot\x20?[\])}]|\.)\x20?[a-z0-9-]{1,63}){1,5}+"
-ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+#: Quantifiers are possessive, so that matching is linear and needs no stack, whatever the length.
+NUMBER = r"(?<![A-Za-z0-9.+])(?=\(?(?:[0-9][\x20().-]{0,2}){7})\(?[0-9]++(?![A-Za-z])(?:[\x20().-]{1,2}[0-9]++(?![A-Za-z]))*+"
+WORDED = r"(?i)(?<![a-z0-9])[a-z0-9][a-z0-9._%+-]*+\x20?[\[({]\x20?at\x20?[\])}]\x20?[a-z0-9-]++(?:\x20?(?:[\[({]\x20?dot\x20?[\])}]|\.)\x20?[a-z0-9-]++)++"
+ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})[A-Z0-9]*+(?![a-z])(?:\x20[A-Z0-9]++(?![a-z]))*+"
 #: Formats that stand beside other groups: they start and end at group boundaries, whatever is before and after.
 GROUPED_PHONE = r"(?<![A-Za-z0-9])(?:\([0-9]{3}\)[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}|[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}|0[0-9]{3}[\x20.-][0-9]{7}|0[0-9]{2}[\x20.-][0-9]{4}[\x20.-][0-9]{4})(?![A-Za-z0-9])"
 SSN = r"(?<![A-Za-z0-9])[0-9]{3}[\x20-][0-9]{2}[\x20-][0-9]{4}(?![A-Za-z0-9])"
@@ -61,11 +62,11 @@ def luhn(x: Column) -> Column:
     return F.pmod(F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(figures), F.lit(1))), F.lit(0), add), F.lit(10)) == 0
 
 
-def replaced(text: Column, spans: Column, mark) -> Column:
+def replaced(text: Column, spans: Column, mark, same_length: bool = False) -> Column:
     """Pieces of the text up to the end of its spans (s, e by start), each span replaced by mark(length).
 
     A struct: p, where the text goes on, and out, the pieces. Of overlapping spans the first has the mark,
-    what others add to it is left out with no mark of its own, but keeps its length if marks do.
+    what others add to it is left out with no mark of its own, but keeps its length if marks do (same_length).
     """
 
     def step(a: Column, x: Column) -> Column:
@@ -75,7 +76,6 @@ def replaced(text: Column, spans: Column, mark) -> Column:
         longer = F.concat(a["out"], F.array(F.when(within & F.lit(not same_length), F.lit("")).otherwise(piece)))
         return F.struct(F.greatest(a["p"], x["e"]).alias("p"), longer.alias("out"))
 
-    same_length = "repeat" in str(mark(F.lit(1))).lower()
     return F.aggregate(spans, F.struct(F.lit(0).alias("p"), F.array().cast("array<string>").alias("out")), step)
 
 
@@ -118,7 +118,7 @@ def proposals(docs: DataFrame, text: str) -> DataFrame:
     """docs with `proposed`: array of s, e, kind, f (features), proposals that no base span overlaps."""
     spans = F.array_sort(F.transform(F.concat(*BASE), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
     hidden = docs.withColumn("_sure", spans)
-    hidden = hidden.withColumn("_cut", F.when(F.size("_sure") > 0, replaced(F.col(text), F.col("_sure"), lambda n: F.repeat(F.lit("\x03"), n))))
+    hidden = hidden.withColumn("_cut", F.when(F.size("_sure") > 0, replaced(F.col(text), F.col("_sure"), lambda n: F.repeat(F.lit("\x03"), n), same_length=True)))
     hidden = hidden.withColumn("_rest", F.coalesce(joined(F.col(text), F.col("_cut")), F.col(text)))
     generators = {f"_{k}{j}": (k, p) for k in ADDED for j, p in enumerate(GENERATORS[k])}
     found = with_spans(hidden, "_rest", {n: (p, F.contains(F.lower("_rest"), F.lit("at")) if k == "worded" else None) for n, (k, p) in generators.items()})
@@ -272,6 +272,7 @@ KINDS = (*BASE, "added")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan() over all documents: counts and digest of the base spans, and all spans, one row a row."""
     found = scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", *(F.size(k).cast("bigint").alias(f"n_{k}") for k in BASE), F.sha2(listed(BASE, True), 256).alias("base_sha256"), listed(KINDS, True).alias("spans"))
 

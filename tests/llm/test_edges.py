@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,24 @@ def test_toxicity_without_labels(spark, docs):
     assert len(rows) == len(ROWS) and all(r.score == 0.0 for r in rows)
 
 
+def test_toxicity_of_ties_and_clashing_columns(spark):
+    texts = ["you vile wretch " * 20, "a calm walk by the sea " * 20]
+    rows = [(i, texts[i % 2], i % 2 == 0) for i in range(400)]
+    docs = spark.createDataFrame([(i, t, "own", "mine") for i, t, _ in rows] + [(7, None, "own", "mine"), (7, None, "own", "mine"), (None, "", "own", "mine")], "doc_id long, text string, _x string, score string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(y)) for i, _, y in rows], "doc_id long, toxic int"))
+    got = toxicity.scored(docs, model).collect()
+    assert len(got) == len(rows) + 3 and all(r["_x"] == "own" and isinstance(r["score"], float) for r in got)
+    assert len({r["score"] for r in got}) <= 3 and min(r["score"] for r in got if r["text"] == texts[0]) > 0.9 > max(r["score"] for r in got if r["text"] == texts[1])
+    assert toxicity.scored(docs.limit(0), model).count() == 0
+
+
+def test_clashing_columns_give_way_or_pass(docs):
+    found = quality.ledger(docs.withColumn("fail_bits", F.lit("own")))
+    assert set(found.columns) == {*docs.columns, "measures", "fail_bits"} and found.where("_m <> 'own' or fail_bits < 0").count() == 0
+    found = bpe.encoded(docs.withColumn("_bpe", F.lit("own")))
+    assert set(found.columns) == {*docs.columns, "_bpe"} and found.where("_m <> 'own' or _bpe.n_tokens < 0").count() == 0
+
+
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [2.0, 0.5]), (None, [1.0, 1.0])]
@@ -106,6 +125,28 @@ def test_vectors(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_that_repeat_an_id(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).tolist(), "own") for i in range(300)]
+    rows += [(20, rng.normal(size=8).tolist(), "own"), (40, rows[40][1], "own"), (7, rows[7][1], "own")]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, row string"), every=20).collect()
+    for q, x in ((20, rows[20][1]), (20, rows[300][1]), (40, rows[40][1]), (60, rows[60][1])):
+        true = sorted((-float((np.array(x) * np.array(v)).sum()), i) for i, v, _ in rows if i != q)[:20]
+        mine = sorted((r.rank, r.vec_id, round(r.score, 9)) for r in got if r.query_id == q)
+        times = 2 if q in (20, 40) else 1
+        assert [r for r, _, _ in mine] == sorted([*range(1, 21)] * times)
+        hits = sum((j + 1, i, round(-s, 9)) in mine for j, (s, i) in enumerate(true))
+        assert hits >= 15 or {i for _, i in true} <= {i for _, i, _ in mine}
+
+
+def test_outliers_beside_tight_clusters_have_all_neighbours(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i + 1, (np.eye(8)[i % 8] * 10 + rng.normal(size=8) * 0.01).tolist()) for i in range(2000)] + [(20 * (200 + i), (rng.normal(size=8) * 50).tolist()) for i in range(5)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    count = {r.query_id: r["count"] for r in got.groupBy("query_id").count().collect()}
+    assert len(count) == len([1 for i, _ in rows if i % 20 == 0]) and set(count.values()) == {20}
+
+
 def test_equal_vectors_tie_by_id(spark):
     rows = [(i, [0.1, 0.7, 0.3]) for i in range(400)]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))

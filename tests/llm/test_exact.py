@@ -1,6 +1,7 @@
 """Operators against brute force, their library or held-out labels, on whole small tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -127,6 +128,14 @@ def test_pii_adds_worded_addresses_and_redacts(spark):
     assert got[3].text == "mail [redacted], call [redacted]"
 
 
+def test_pii_proposals_have_no_longest(spark):
+    figures, name = "1234567890" * 300, "ab" * 200
+    texts = [f"no {figures} x", f"mail {name} [at] {name} [dot] org", "IBAN DE89" + "0" * 3000, "9 " * 50_000 + "z", "(" * 50_000 + "5", "a" * 100_000 + " [at]", "DE12 " + "A1 " * 20_000]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, t string")
+    got = {r.doc_id: [(c.s, c.e) for c in r.proposed] for r in pii.proposals(pii.base_spans(docs, "t"), "t").collect()}
+    assert (3, 3003) in got[0] and (5, len(texts[1])) in got[1] and (5, len(texts[2])) in got[2] and (0, 99_999) in got[3]
+
+
 BESIDE = [
     ("IBAN DE89 3704 0044 0532 0130 00 Please pay", ["DE89 3704 0044 0532 0130 00"]), ("iban DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX now", ["DE89 3704 0044 0532 0130 00"]), ("iban DE89370400440532013000 Thanks", ["DE89370400440532013000"]),
     ("call 555-123-4567 555-987-6543", ["555-123-4567", "555-987-6543"]), ("ssn 123-45-6789 2024", ["123-45-6789"]),
@@ -159,13 +168,19 @@ def test_substrings(spark, texts, tree):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_text.encode()) == (len(w), sum(gone), kept)
 
 
+def plain_weights(texts):
+    """TF-IDF weights of five-word shingles, from scratch: {doc: {shingle: weight}}."""
+    grams = {}
+    for i, t in texts:
+        w = t.split()
+        grams[i] = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
+    df = Counter(g for c in grams.values() for g in c)
+    idf = {g: min(2.0, max(1.0, 1 + math.log(len(texts) / n) / math.log(1000))) for g, n in df.items()}
+    return {i: {g: n * idf[g] for g, n in c.items()} for i, c in grams.items()}
+
+
 def true_classes(texts, least=0.8):
-    weights, holders = {}, defaultdict(set)
-    df = np.zeros(neardup.DF_BUCKETS, np.int64)
-    for _, t in texts:
-        s, _ = neardup.shingles(t.encode())
-        df += np.bincount((s & np.uint64(neardup.DF_BUCKETS - 1)).astype(np.int64), minlength=neardup.DF_BUCKETS)
-    idf = neardup.idf_table(df, len(texts))
+    weights, holders = plain_weights(texts), defaultdict(set)
     root = {i: i for i, _ in texts}
 
     def find(x):
@@ -173,19 +188,40 @@ def true_classes(texts, least=0.8):
             x = root[x]
         return x
 
-    for i, t in texts:
-        weights[i] = neardup.weigh(t.encode(), idf)
-        for j, n in Counter(j for h in weights[i][0].tolist() for j in holders[h]).items():
-            if n * 2 >= min(len(weights[i][0]), len(weights[j][0])) and neardup.weighted_jaccard(weights[i], weights[j]) >= least:
-                root[find(i)] = find(j)
-        for h in weights[i][0].tolist():
-            holders[h].add(i)
+    for i, _ in texts:
+        mine = weights[i]
+        for j, n in Counter(j for g in mine for j in holders[g]).items():
+            if n * 2 >= min(len(mine), len(weights[j])):
+                low = sum(min(w, weights[j].get(g, 0.0)) for g, w in mine.items())
+                if low / (sum(mine.values()) + sum(weights[j].values()) - low) >= least - 1e-9:
+                    root[find(i)] = find(j)
+        for g in mine:
+            holders[g].add(i)
     out = defaultdict(set)
     for i, _ in texts:
         out[find(i)].add(i)
     return {frozenset(x) for x in out.values()}
 
 
+def test_document_frequencies_are_exact_and_weights_keep_at_any_size(spark):
+    rng = random.Random(2)
+    common = [" ".join(f"c{k}w{j}" for j in range(9)) for k in range(6)]
+
+    def corpus(n):
+        return [(i, " ".join([f"u{i}a u{i}b u{i}c u{i}d u{i}e u{i}f", *(c for k, c in enumerate(common) if rng.random() < 0.5 ** (k + 1))])) for i in range(n)]
+
+    means = []
+    for n in (600, 6000):
+        texts = corpus(n)
+        df = Counter(g for _, t in texts for g in {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)})
+        found, times = neardup.document_frequencies(spark.createDataFrame(texts, "doc_id long, text string").select("text"), n)
+        of = {int(neardup.shingles(" ".join(g).encode())[0][0]): c for g, c in df.items()}
+        assert dict(zip(found.tolist(), times.tolist())) == {h: c for h, c in of.items() if c >= neardup.RARE * n}
+        idf = neardup.Idf(found, times, n)
+        means.append([float(idf.of(neardup.shingles(c.encode())[0]).mean()) for c in common])
+    assert all(abs(a - b) < 0.15 for a, b in zip(*means)) and means[1][0] < 1.2 < 1.5 < means[1][5]
+
+
 def test_near_duplicates(spark, texts):
     out = defaultdict(set)
     for r in neardup.classes(spark.createDataFrame(texts, "doc_id long, text string")).collect():
