@@ -27,6 +27,8 @@ from .common import grouped, keep, lookup, prepare, read_table, same, stage_of,
 
 #: Documents of a source that one task pairs, and survivors that meet in a node of the tree.
 BUCKET, FAN_IN = 4096, 64
+#: Ranges of code points by which the sources are sorted.
+RANGES = 16
 #: Documents with over 1 / HEAVY of their source's words are rounded before the others: under HEAVY a source.
 HEAVY = 512
 WEIGHTS, SHARE, MOST = (5, 2, 1), Fraction(3, 2), 2
@@ -44,13 +46,15 @@ def source_key(source: Column) -> Column:
 
 def ranked(sources: DataFrame) -> DataFrame:
     """sources(source, ...) with `place`, from 0, by code point, null last: sorted by ranges, counted by range."""
-    sources = sources.repartitionByRange(16, F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id())
+    sources = sources.repartitionByRange(RANGES, F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id())
     sources = keep(sources.sortWithinPartitions(F.col("source").asc_nulls_last()), "sources")
-    before, total = [F.lit(0)] * 16, 0
-    for range_, n in sorted((r.range, r["count"]) for r in sources.groupBy("range").count().collect()):  # 16 at most
-        before[range_], total = F.lit(total), total + n
+    rows, total = [], 0
+    for range_, n in sorted((r.range, r["count"]) for r in sources.groupBy("range").count().collect()):  # a row a range
+        rows.append((range_, total))
+        total += n
+    before = F.broadcast(sources.sparkSession.createDataFrame(rows, "r int, before bigint"))  # as many
     within = F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last()))
-    return sources.withColumn("place", F.element_at(F.array(*before), F.col("range") + 1) + within - 1).drop("range")
+    return sources.join(before, F.col("range") == F.col("r")).withColumn("place", F.col("before") + within - 1).drop("range", "r", "before")
 
 
 def with_targets(sources: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
