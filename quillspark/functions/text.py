@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: Scripts in Java's notation.
 LATIN, CYRILLIC = r"\p{IsLatin}", r"\p{IsCyrillic}"
 CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
+#: Keys that never leave a run. Fixed values.
 REDACTIONS = (
     (r"(?i)(api[_-]?key|authorization|bearer|password|secret|token)\s*[:=]\s*[^\s,;]+", "$1=[redacted]"),
     (r"sk-[A-Za-z0-9_-]{8,}", "[redacted]"),
@@ -125,3 +126,26 @@ def removed_once(have: Column, gone: Column) -> Column:
         return F.filter(F.transform(v["a"], step), lambda x: x.isNotNull())
 
     return let(F.struct(have.alias("a"), gone.alias("b")), kept)
+
+
+def last_wins(entries: Column) -> Column:
+    """A map of entries (key, value) in which the last of several entries with one key counts, as in an object literal."""
+    keys = F.array_distinct(F.transform(entries, lambda x: x["key"]))
+    value = lambda k: F.element_at(F.filter(entries, lambda x: x["key"] == k), -1)["value"]
+    return F.map_from_arrays(keys, F.transform(keys, value))
+
+
+def tolerant_json(c: Column | str, schema: str) -> Column:
+    """An answer parsed as it is, else what its fence holds, else from its first brace to its last; null if none parses."""
+    c = col(c)
+    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    braced = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
+    parsed = lambda x: F.from_json(F.when(F.get_json_object(x, "$").isNotNull(), x), schema)
+    return F.coalesce(parsed(F.trim(c)), parsed(F.trim(fenced)), parsed(braced))
+
+
+def retry_after_seconds(value: Column, now: Column) -> Column:
+    """Seconds to wait that a Retry-After header asks for: a number, or a date; none below zero, null if it is neither."""
+    date = F.try_to_timestamp(F.regexp_extract(value, r"^[A-Za-z]{3}, (\d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
+    seconds = F.when(F.trim(value).rlike(r"^\d+(?:\.\d+)?$"), F.trim(value).cast("double"))
+    return let(F.coalesce(seconds, (F.unix_timestamp(date) - F.unix_timestamp(now)).cast("double")), lambda x: F.when(x < 0, 0.0).otherwise(x))

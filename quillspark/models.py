@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .functions.text import redacted
+
 MODES = ("translation", "editing", "audit", "repair", "consistency")
 
 
@@ -113,3 +115,38 @@ def or_fallback(edited: Column, draft: Column) -> Column:
 
 def prompt(mode: Column, segments: Column, glossary: Column) -> Column:
     return F.to_json(F.struct(mode.alias("mode"), segments.alias("segments"), glossary.alias("glossary")))
+
+
+def call_outcome(kind: Column, message: Column) -> Column:
+    """How a call ended, for its usage record: kind is null if it went well."""
+    return F.when(kind.isNull(), "ok").when(kind.isin("invalid_response", "configuration"), kind).when(F.regexp_like(message, F.lit("(?i)timed out")), "timeout").otherwise("error")
+
+
+def usage_records(calls: DataFrame) -> DataFrame:
+    """calls: call_id, run_id, mode, segments (ids), profile, endpoint, model, prompt_tokens, cached_prompt_tokens, completion_tokens,
+    kind, message. One record a call, failed ones too: tokens that aren't whole numbers from 0 on are unknown, a total needs one of the two;
+    the message is redacted and cut."""
+    tokens = lambda c: F.when((F.col(c) >= 0) & (F.col(c) == F.floor(c)), F.col(c)).cast("bigint")
+    prompt, completion = tokens("prompt_tokens"), tokens("completion_tokens")
+    total = F.when(prompt.isNotNull() | completion.isNotNull(), F.coalesce(prompt, F.lit(0)) + F.coalesce(completion, F.lit(0))).cast("bigint")
+    return calls.select(
+        "call_id", "run_id", F.col("mode").alias("stage"), F.get("segments", F.lit(0)).alias("operation"), "profile", "endpoint", "model", call_outcome(F.col("kind"), F.col("message")).alias("outcome"),
+        F.when(F.col("message") != "", F.substring(redacted("message"), 1, 300)).alias("detail"), prompt.alias("prompt_tokens"), tokens("cached_prompt_tokens").alias("cached_prompt_tokens"), completion.alias("completion_tokens"), total.alias("total_tokens"),
+    )
+
+
+def metered(call: Callable, record: Callable, guard: Callable | None = None) -> Callable:
+    """call(segments), after guard(), with record(kind, message, usage) for every call that was sent, whether it went well or not."""
+
+    def run(segments):
+        if guard:
+            guard()
+        try:
+            answered_ = call(segments)
+        except ProviderError as error:
+            record(error.kind, str(error), getattr(error, "usage", None))
+            raise
+        record(None, "", None)
+        return answered_
+
+    return run

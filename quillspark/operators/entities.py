@@ -17,8 +17,12 @@ MENTIONS, OVER_NOUN = 5, 4
 KEPT, CONTEXTS, CHUNK = 250, 8, 25
 #: Words that are never names, a default for the parameter.
 STOP_WORDS = tuple("a an and are as at be but by for from had has have he her his i if in is it its no not of on or our she so that the their them then there they this to was we were what when which who will with you your".split())
-#: Word endings that inflection changes, longest first. Fixed values.
-ENDINGS = ("ями", "ами", "ого", "его", "ому", "ему", "ыми", "ими", "ой", "ей", "ою", "ею", "ом", "ем", "ах", "ях", "ов", "ев", "ам", "ям", "ую", "юю", "ая", "яя", "ое", "ее", "ый", "ий", "а", "я", "о", "е", "ы", "и", "у", "ю", "ь", "й")
+#: Endings of names, in the order in which they are tried. Fixed values.
+ENDINGS = ("ою", "ею", "ой", "ей", "ом", "ем", "ём", "а", "я", "е", "и", "ы", "у", "ю")
+#: Words in lower case that stay inside a name. Fixed values.
+CONNECTORS = ("of", "the", "de", "del", "la", "le", "van", "von", "der", "du")
+#: Mentions of a glossary's terms: up to so many terms, counted, their table is broadcast.
+TERMS = 20_000
 _WORD = r"[\p{L}\p{M}'’]+"
 
 
@@ -90,37 +94,42 @@ def evidence_stats(found: DataFrame, n: int = KEPT) -> DataFrame:
     return out.select("candidates", "stop_words", "common_words", "weak", F.greatest(F.lit(0), F.col("strong") - n).cast("bigint").alias("overflow"), F.least(F.lit(n), F.col("strong")).cast("bigint").alias("kept"))
 
 
-def phrases(segments: DataFrame, stop: tuple[str, ...] = STOP_WORDS, connectors: tuple[str, ...] = ("of", "the", "de", "von", "van", "la", "du")) -> DataFrame:
-    """Runs of 2 to 5 capitalised words parted by blanks only; connectors may stand between. An automaton over
-    tokens, so an Arrow function."""
-    token, capital = regex.compile(r"[\p{L}\p{M}'’]+"), regex.compile(r"\p{Lu}")
+_TOKEN, _CAPITAL = regex.compile(r"[\p{L}\p{N}\p{M}'’-]+"), regex.compile(r"\p{Lu}")
+
+
+def phrases_of(text: str, stop: tuple[str, ...] = STOP_WORDS, connectors: tuple[str, ...] = CONNECTORS, most: int = 5) -> list[tuple[int, str]]:
+    """(place, phrase): runs of two to `most` words between capitals, parted by blanks and tabs only. Connectors may
+    stand between two capitals; stop words at either end fall away."""
+    runs, run, end = [], [], 0
+    for m in _TOKEN.finditer(text):
+        if run and (text[end : m.start()].strip(" \t") or end == m.start()):
+            runs.append(run)
+            run = []
+        end = m.end()
+        if _CAPITAL.match(m[0]) or (run and m[0].lower() in connectors):
+            run.append(m)
+        elif run:
+            runs.append(run)
+            run = []
+    out = []
+    for run in [*runs, run]:
+        while run and not _CAPITAL.match(run[-1][0]):  # a connector that bridges nothing
+            run.pop()
+        while run and run[0][0].lower() in stop:
+            run.pop(0)
+        while run and run[-1][0].lower() in stop:
+            run.pop()
+        if 2 <= len(run) <= most:
+            out.append((run[0].start(), text[run[0].start() : run[-1].end()]))
+    return out
+
+
+def phrases(segments: DataFrame, stop: tuple[str, ...] = STOP_WORDS, connectors: tuple[str, ...] = CONNECTORS) -> DataFrame:
+    """phrases_of() each text, a row each. An automaton over tokens, so an Arrow function."""
     rest = [c for c in segments.columns if c != "text"]
 
-    def of(text: str) -> list[str]:
-        out, run, end = [], [], None
-
-        def close() -> None:
-            while run and (run[-1].lower() in connectors or run[-1].lower() in stop):
-                run.pop()
-            while run and run[0].lower() in stop:
-                run.pop(0)
-            if 2 <= len(run) <= 5:
-                out.append(" ".join(run))
-            run.clear()
-
-        for m in token.finditer(text):
-            if end is not None and text[end : m.start()].strip(" \t"):
-                close()
-            end, w = m.end(), m[0]
-            if capital.match(w) or (run and w.lower() in connectors):
-                run.append(w)
-            else:
-                close()
-        close()
-        return out
-
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([of(t or "") for t in texts.to_pylist()], pa.list_(pa.string()))
+        return pa.array([[p for _, p in phrases_of(t or "", stop, connectors)] for t in texts.to_pylist()], pa.list_(pa.string()))
 
     return segments.select(*rest, F.explode(F.arrow_udf(run, "array<string>")("text")).alias("phrase"))
 
@@ -128,13 +137,16 @@ def phrases(segments: DataFrame, stop: tuple[str, ...] = STOP_WORDS, connectors:
 def glossary_mentions(segments: DataFrame, glossary: DataFrame, text: str = "text") -> DataFrame:
     """Segments that hold an entry's source as whole words, in any case.
 
-    A join on the first word of the entry finds candidates, the whole term is verified after; so the cost
-    follows the mentions, not entries times segments.
+    Words of a text meet the entries by their first word, then the whole term is verified on the same row; so the cost
+    follows the mentions, not entries times segments. A glossary of up to TERMS entries, counted, is broadcast and
+    no text moves; a longer one meets the words by shuffle.
     """
     first = lambda c: F.lower(F.regexp_extract(c, f"({_WORD})", 1))
     terms = glossary.select(F.col("source").alias("term"), *(c for c in glossary.columns if c != "source")).withColumn("_k", first(F.col("term")))
-    tokens = segments.select("seg_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"({_WORD})"), 1), lambda w: F.lower(w)))).alias("_w"))
-    hits = tokens.join(terms, F.col("_w") == F.col("_k")).drop("_w", "_k").join(segments, "seg_id")
+    if terms.limit(TERMS + 1).count() <= TERMS:
+        terms = F.broadcast(terms)
+    tokens = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"({_WORD})"), 1), lambda w: F.lower(w)))
+    hits = segments.withColumn("_w", F.explode(tokens)).join(terms, F.col("_w") == F.col("_k")).drop("_w", "_k")
     return hits.where(mentions(text, "term"))
 
 
@@ -170,20 +182,35 @@ def navigation_labels(labels: DataFrame) -> DataFrame:
 
 
 def stem(c: Column | str) -> Column:
-    """A word without its ending, if three letters or more are left."""
-    return F.regexp_replace(col(c), f"^(.{{3,}}?)(?:{'|'.join(ENDINGS)})$", "$1")
+    """A word without the first of ENDINGS that it has, if three letters or more are left."""
+    word = col(c)
+    cut = lambda e: F.substring(word, F.lit(1), F.length(word) - len(e))
+    return F.coalesce(*(F.when(F.lower(word).endswith(e) & (F.length(word) - len(e) >= 3), cut(e)) for e in ENDINGS), word)
 
 
 def safe_variant(variant: Column, canonical: Column) -> Column:
-    """Whether one spelling may be replaced by another: as many words, same endings, stems of distance 2 or less."""
-    a, b = F.split(variant, " "), F.split(canonical, " ")
-    ending = lambda w: F.substring(w, F.length(stem(w)) + 1, F.length(w))
-    near = F.forall(F.zip_with(a, b, lambda x, y: (ending(x) == ending(y)) & (F.levenshtein(stem(x), stem(y)) <= 2)), lambda ok: ok)
-    return (F.length(variant) >= 2) & (F.trim(variant) == variant) & (F.lower(variant) != F.lower(canonical)) & (F.size(a) == F.size(b)) & near
+    """Whether one spelling may be replaced by another: as many words, each with the same ending, a stem of distance 2 or
+    less, and no marks around it but the canonical's."""
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    before, after, edges = r"^([^\p{L}\p{N}]*)", r"([^\p{L}\p{N}]*)$", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+
+    def alike(x: Column, y: Column) -> Column:
+        marks = F.lit(True)
+        for side in (before, after):
+            mine = F.regexp_extract(x, side, 1)
+            marks = marks & ((mine == "") | (mine == F.regexp_extract(y, side, 1)))
+        a, b = F.lower(F.regexp_replace(x, edges, "")), F.lower(F.regexp_replace(y, edges, ""))
+        ending = lambda w: F.substring(w, F.length(stem(w)) + 1, F.length(w))
+        return marks & (ending(a) == ending(b)) & (F.levenshtein(stem(a), stem(b)) <= 2)
+
+    a, b = words(variant), words(canonical)
+    plain = (F.length(variant) >= 2) & (F.trim(variant) == variant) & (F.lower(variant) != F.lower(canonical))
+    return plain & (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: F.coalesce(alike(x, y), F.lit(False))), lambda ok: ok)
 
 
-def near_pairs(names: DataFrame) -> DataFrame:
-    """names: name, n. Pairs of names of 5 letters or more, alike but for two letters, each used twice.
+def near_pairs(names: DataFrame, *of: str) -> DataFrame:
+    """names: name, n, and what `of` names. Pairs of names of the same `of`, 5 letters or more, alike but for two letters,
+    each used twice.
 
     Names meet under what is left of them with up to two letters taken out anywhere, so no pair is lost.
     """
@@ -191,10 +218,10 @@ def near_pairs(names: DataFrame) -> DataFrame:
     rows = names.where((F.length("name") >= 5) & (F.col("n") >= 2))
     one = shorter(F.col("name"))
     keys = F.array_distinct(F.concat(F.array("name"), one, F.flatten(F.transform(one, shorter))))
-    keyed = rows.select("name", "n", F.explode(keys).alias("k"))
-    other = keyed.select(F.col("name").alias("other"), F.col("n").alias("m"), "k")
-    pairs = keyed.join(other, "k").where((F.col("name") < F.col("other")) & (F.abs(F.length("name") - F.length("other")) <= 2))
-    return pairs.where(F.levenshtein("name", "other") <= 2).select("name", "other", "n", "m").distinct()
+    keyed = rows.select(*of, "name", "n", F.explode(keys).alias("k"))
+    other = keyed.select(*of, F.col("name").alias("other"), F.col("n").alias("m"), "k")
+    pairs = keyed.join(other, [*of, "k"]).where((F.col("name") < F.col("other")) & (F.abs(F.length("name") - F.length("other")) <= 2))
+    return pairs.where(F.levenshtein("name", "other") <= 2).select(*of, "name", "other", "n", "m").distinct()
 
 
 def composites(entries: DataFrame) -> DataFrame:

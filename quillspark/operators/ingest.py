@@ -14,7 +14,7 @@ LIMITS = {"entries": 10_000, "compressed": 100 << 20, "entry": 100 << 20, "expan
 METHODS = (0, 8)
 DOCUMENTS = ("application/xhtml+xml", "text/html", "application/x-dtbncx+xml")
 #: Inline elements that only look different; a run may continue into them. Fixed values.
-PRESENTATIONAL = ("b", "big", "em", "font", "i", "s", "small", "span", "strike", "strong", "sub", "sup", "tt", "u")
+PRESENTATIONAL = ("b", "cite", "del", "dfn", "em", "i", "ins", "mark", "s", "samp", "small", "strong", "u", "var")
 _SENTENCE = r"(?<=[.!?])\s+|(?<=[。！？])(?![」』）】\s])"
 
 
@@ -80,10 +80,9 @@ def remerged(rows: DataFrame) -> DataFrame:
 
 
 def merges_into(extra: Column, base: Column) -> Column:
-    """Whether a text of one inline format continues a run of another: the same, or only dressed up more."""
-    added = F.split(F.substring(extra, F.length(base) + 1, F.length(extra)), ">")
-    dressed = F.forall(F.filter(added, lambda x: x != ""), lambda x: x.isin(*PRESENTATIONAL))
-    return (extra == base) | (extra.startswith(base) & dressed)
+    """Whether a text of one inline format (">a>em") continues a run of another: the same, or only dressed up more."""
+    added = F.split(F.substring(extra, F.length(base) + 2, F.length(extra)), ">")
+    return (extra == base) | (extra.startswith(F.concat(base, F.lit(">"))) & F.forall(added, lambda x: x.isin(*PRESENTATIONAL)))
 
 
 def logical_units(segments: DataFrame) -> DataFrame:

@@ -81,3 +81,9 @@ def changes(events: DataFrame, job: str, order: str, value: str) -> DataFrame:
     """Only events that change a counter of their job; its first event counts as a change."""
     before = F.lag(value).over(Window.partitionBy(job).orderBy(order))
     return events.withColumn("_b", before).where(~F.col("_b").eqNullSafe(F.col(value))).drop("_b")
+
+
+def delegation_hash(*fields: tuple[str, Column]) -> Column:
+    """sha256 of a delegation's canonical JSON: keys in order, without null ones and without revoked_at."""
+    kept = sorted(((k, v) for k, v in fields if k != "revoked_at"), key=lambda x: x[0])
+    return F.concat(F.lit("sha256:"), F.sha2(F.to_json(F.struct(*(v.alias(k) for k, v in kept))), 256))

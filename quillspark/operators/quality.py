@@ -249,3 +249,106 @@ def quality_report(findings: DataFrame) -> DataFrame:
 
 def has_hard_defect(defects: DataFrame, key: str) -> DataFrame:
     return defects.groupBy(key).agg(F.bool_or(~F.col("kind").isin("source_residue", "missing_numbers")).alias("hard"))
+
+
+#: Reasons by which a critic takes a finding back. Fixed values.
+NOT_ACTIONABLE = (
+    r"\b(?:therefore\s+)?this is not an? (?:error|issue)\b",
+    r"\bno (?:issue|inconsistency|strong defect|clear defect|real defect)\b",
+    r"\bnot (?:a )?(?:strong|clear|real|actual) defect\b",
+    r"\bactually acceptable\b",
+    r"\b(?:it|this|the (?:translation|rendering|wording|phrase|form)) is acceptable\b",
+    r"\bborderline\b",
+    r"\blow[- ]confidence\b",
+    r"не является (?:ошибкой|дефектом|проблемой)",
+    r"(?:ошибки|проблемы|несоответствия) нет",
+    r"не стоит (?:это )?отмечать",
+    r"низк\p{L}* уверенн\p{L}*",
+    r"(?:это|вариант|форма|склонение) (?:полностью )?(?:корректн\p{L}*|допустим\p{L}*)",
+    r"перевод (?:в данном сегменте )?верен",
+    r"основани(?:й|я) для исправления нет",
+    r"изменени\p{L}*[^.!?]{0,80}(?:противоречит|является ошибк)",
+    r"не буду (?:включать|отмечать)[^.!?]{0,80}(?:сомнительн|замечани)",
+    r"(?:я )?не уверен",
+    r"требуется уточнение",
+)
+#: What a reason claims, and the span that shows the contrary. Fixed values.
+CONTRADICTIONS = (
+    (r"(?:после|снаружи|outside|after)[^.!?]{0,50}(?:кавыч|quote)", r"[.!?…]»$"),
+    (r"(?:точк|period|full stop)[^.!?]{0,100}(?:внутри|перед закрыва|inside|before the closing)", r"»\.$"),
+    (r"тире без пробела|no space after (?:the )?dash", r"—\s+\p{L}"),
+    (r"(?:не хватает|отсутствует|требу\p{L}*)[^.!?]{0,50}(?:кавыч|closing quote)", r"^—\s"),
+    (r"(?:неверн|некоррект|наруш)[^.!?]{0,80}(?:двоеточ|тире)|(?:двоеточ|тире)[^.!?]{0,80}(?:неверн|некоррект|наруш)", r":\s+—"),
+    (r"дефис[^.!?]{0,50}(?:опущен|отсутствует)|(?:опущен|отсутствует)[^.!?]{0,50}дефис", r"-"),
+    (r"(?:объедин|слит|merge)[^.!?]{0,80}(?:запят|comma)", r"[.!?…]$"),
+)
+ROMAN = r"^(?=[IVXLCDM]+$)M{0,4}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})$"
+
+
+def contradicted(issue: Column, original: Column, edited: Column) -> Column:
+    """Whether an issue's reason is refuted by its own span, by itself, or by the two texts (null texts refute nothing)."""
+    reason, span = issue["reason"], issue["span"]
+    said = lambda p: F.regexp_like(reason, F.lit(f"(?iu){p}"))
+    quoted = lambda p, i=1: F.regexp_extract_all(reason, F.lit(f"(?iu){p}"), i)
+    forms = F.transform(quoted(r"[«“\"]([^»”\"]+)[»”\"]"), lambda x: F.lower(F.trim(x)))
+    found = F.size(F.array_distinct(forms)) < F.size(forms)
+    found = found | ((issue["type"] == "semantic_error") & (issue["severity"] == "high") & said(r"перевод (?:в целом |основн\p{L}* )?(?:сохраняет|передаёт) (?:смысл|значение)"))
+    for claim, shown in CONTRADICTIONS:
+        found = found | (said(claim) & F.regexp_like(span, F.lit(shown)))
+    found = found | F.exists(quoted(r"(?:правильн\p{L}*|корректн\p{L}*|следует|требу\p{L}*|предписыва\p{L}*)[^«»]{0,100}«([^»]+)»"), lambda x: F.contains(span, x))
+    found = found | F.exists(quoted(r"(?:отсутствует|пропущено|пропущен)\s+(?:слово\s+)?[\"'“«]([^\"'”»]+)[\"'”»]"), lambda x: F.contains(F.lower(span), F.lower(x)))
+    heading = (F.trim(original) == F.trim(edited)) & F.trim(original).rlike(ROMAN)
+    negative = F.filter(quoted(r"[\"“«]([^\"”»]{2,160})[\"”»]"), lambda q: F.regexp_like(q, F.lit(r"(?i)\b(?:no|not|never|neither|nor|nothing|nobody|nowhere|without)\b|n['’]t\b")))
+    cited = F.exists(negative, lambda q: F.contains(F.lower(original), F.lower(q)))
+    unproven = said(r"(?:опущен\p{L}* отрицан|missing (?:a |the )?negation)") & original.rlike("[A-Za-z]") & ~cited
+    kept = (issue["type"] == "source_language_interference") & F.contains(F.lower(original), F.lower(span)) & (F.contains(edited, F.concat(F.lit("«"), span, F.lit("»"))) | F.contains(edited, F.concat(F.lit("“"), span, F.lit("”"))))
+    return found | F.coalesce(heading | unproven | kept, F.lit(False))
+
+
+def actionable(issue: Column, original: Column, edited: Column) -> Column:
+    """Whether an issue (span, type, severity, reason) is one to repair: not taken back and not refuted."""
+    withdrawn = F.regexp_like(issue["reason"], F.lit("(?iu)" + "|".join(f"(?:{p})" for p in NOT_ACTIONABLE)))
+    return ~withdrawn & ~contradicted(issue, original, edited)
+
+
+def run_warnings(preflight: DataFrame, findings: DataFrame, failed: DataFrame, defects: DataFrame, repairs: DataFrame, consistency: DataFrame) -> DataFrame:
+    """Warnings of each run: preflight(run_id, warnings), findings(run_id, audit_error), failed repairs, defective segments
+    (once each, without residue), (batch, segment) rejected or unrepaired (once each), consistency(run_id, warnings)."""
+    sum_of = lambda df, c: df.groupBy("run_id").agg(F.sum(c).cast("bigint").alias("n"))
+    parts = [
+        sum_of(preflight, "warnings"), sum_of(findings.where("audit_error is not null"), F.lit(1)), sum_of(failed, F.lit(1)),
+        defects.where("kind <> 'source_residue'").groupBy("run_id").agg(F.countDistinct("seg_id").alias("n")), repairs.groupBy("run_id").agg(F.countDistinct("batch_id", "seg_id").alias("n")), sum_of(consistency, "warnings"),
+    ]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy("run_id").agg(F.sum("n").cast("bigint").alias("warnings"))
+
+
+def verified_repairs(before: DataFrame, after: DataFrame, issues: DataFrame, defects: DataFrame) -> DataFrame:
+    """after(seg_id, text) with what was there before wherever a changed text has a high issue or a defect that says it is
+    not translated; reverted: whether it was."""
+    changed = after.join(before.select("seg_id", F.col("text").alias("was")), "seg_id", "left")
+    broken = issues.where("severity = 'high'").select("seg_id").unionByName(defects.where("kind in ('source_interference', 'untranslated')").select("seg_id")).distinct()
+    rows = changed.join(broken.withColumn("_b", F.lit(True)), "seg_id", "left")
+    back = F.coalesce("_b", F.lit(False)) & F.col("was").isNotNull() & (F.col("was") != F.col("text"))
+    return rows.select("seg_id", F.when(back, F.col("was")).otherwise(F.col("text")).alias("text"), back.alias("reverted"))
+
+
+def interference_repair(pairs: DataFrame, repair, language: str) -> tuple[DataFrame, DataFrame]:
+    """pairs: seg_id, doc_id, seg_pos, source, target. Texts whose scan finds source words left inside are given to repair(rows) -> seg_id,
+    text, once more if they come back unchanged, and taken if the gate lets them pass. Texts; attempted, changed, rejected, failed."""
+    found = scan(pairs.select("seg_id", "source", "target"), language).where("kind = 'source_interference'").select("seg_id", "spans")
+    todo = with_neighbours(pairs, "doc_id", "seg_pos", "target").join(found, "seg_id")
+    first = repair(todo)
+    same = todo.join(first.select("seg_id", F.col("text").alias("_t")), "seg_id").where(F.col("_t") == F.col("target")).drop("_t")
+    again = repair(same)
+    answers = todo.select("seg_id", "source", "target").join(first.select("seg_id", F.col("text").alias("_1")), "seg_id", "left").join(again.select("seg_id", F.col("text").alias("_2")), "seg_id", "left")
+    answers = answers.withColumn("text", F.coalesce("_2", "_1"))
+    refused = repair_rejection(F.col("target"), F.col("text"), F.col("source"))
+    state = F.when(F.col("text").isNull(), "failed").when(F.col("text") == F.col("target"), "rejected").when(refused.isNotNull(), "rejected").otherwise("changed")
+    judged = answers.withColumn("state", state)
+    count = lambda k: F.coalesce(F.sum((F.col("state") == k).cast("int")), F.lit(0)).cast("bigint").alias(k)
+    taken = judged.where("state = 'changed'").select("seg_id", F.col("text").alias("_new"))
+    texts = pairs.join(taken, "seg_id", "left").select("seg_id", F.coalesce("_new", "target").alias("text"))
+    return texts, judged.agg(F.count("*").alias("attempted"), count("changed"), count("rejected"), count("failed"))

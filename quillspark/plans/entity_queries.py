@@ -118,7 +118,7 @@ def composite_reconcile(spark, sf_dir):
 @query(
     with_("segments")
     + """, n AS (SELECT word AS name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM segments) WHERE regexp_matches(word, '^[A-Z][a-z]{4,}$') GROUP BY 1 HAVING count(*) >= 2)
-SELECT a.name, b.name AS other, a.n::BIGINT AS n, b.n::BIGINT AS m FROM n a JOIN n b ON a.name < b.name AND (substr(a.name, 1, 2) = substr(b.name, 1, 2) OR right(a.name, 2) = right(b.name, 2)) AND abs(length(a.name) - length(b.name)) <= 2 WHERE levenshtein(a.name, b.name) <= 2"""
+SELECT a.name, b.name AS other, a.n::BIGINT AS n, b.n::BIGINT AS m FROM n a JOIN n b ON a.name < b.name AND abs(length(a.name) - length(b.name)) <= 2 WHERE levenshtein(a.name, b.name) <= 2"""
 )
 def near_name_pairs(spark, sf_dir):
     words = A.segments(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)).alias("name")).where(F.col("name").rlike("^[A-Z][a-z]{4,}$"))

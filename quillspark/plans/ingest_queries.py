@@ -57,9 +57,12 @@ def logical_blocks(spark, sf_dir):
     return I.logical_units(html_segments(spark, sf_dir))
 
 
-@query("SELECT page_id, false AS well_formed FROM pages")
+@query("SELECT page_id, page_id % 4 = 0 AS well_formed FROM pages")
 def structural_validation(spark, sf_dir):
-    return H.well_formed(table(spark, sf_dir, "pages").select("page_id", "html"))
+    """The pages, which are HTML, beside documents made of them that are XML, torn XML and badly nested XML."""
+    k, words = F.col("page_id") % 4, F.replace(F.replace(F.regexp_replace("html", r"[<\x00-\x1F]", " "), F.lit("&"), F.lit("&amp;")), F.lit("]]>"), F.lit(" "))
+    html = F.when(k == 0, F.concat(F.lit("<p>"), words, F.lit("</p>"))).when(k == 1, F.concat(F.lit("<p>"), words)).when(k == 2, F.concat(F.lit("<a><b>"), words, F.lit("</a></b>"))).otherwise(F.col("html"))
+    return H.well_formed(table(spark, sf_dir, "pages").select("page_id", html.alias("html")))
 
 
 @query(r"""SELECT doc_id, regexp_replace(regexp_replace(text, '(api[_-]?key|authorization|bearer|password|secret|token)\s*[:=]\s*[^\s,;]+', '\1=[redacted]', 'gi'), 'sk-[A-Za-z0-9_-]{8,}', '[redacted]', 'g') AS text FROM documents""")
@@ -144,10 +147,18 @@ def safe_projection(spark, sf_dir):
     return I.safe_jobs(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("status"), key.alias("api_key")))
 
 
-@query("""SELECT o_orderkey, (CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN true ELSE false END) AS merges FROM orders""")
+_TAGS = H.INLINE
+_FORMATS = f"""f AS (SELECT l_orderkey, l_linenumber, '>' || {list(_TAGS)}[l_partkey % {len(_TAGS)} + 1] AS base, '>' || {list(_TAGS)}[l_suppkey % {len(_TAGS)} + 1] || CASE WHEN l_linenumber % 2 = 0 THEN '>' || {list(_TAGS)}[l_orderkey % {len(_TAGS)} + 1] ELSE '' END AS extra FROM lineitem),
+m AS (SELECT *, CASE l_linenumber % 3 WHEN 0 THEN extra WHEN 1 THEN base || extra ELSE base END AS format, CASE WHEN l_linenumber % 5 = 0 THEN '' ELSE base END AS run FROM f)"""
+
+
+@query(f"""WITH {_FORMATS} SELECT format, run, count(*)::BIGINT AS n, bool_and(format = run OR (starts_with(format, run) AND regexp_full_match(substr(format, length(run) + 1), '(>({"|".join(I.PRESENTATIONAL)}))+'))) AS merges FROM m GROUP BY 1, 2""")
 def format_merges(spark, sf_dir):
-    k = F.col("o_orderkey") % 3
-    return table(spark, sf_dir, "orders").select("o_orderkey", I.merges_into(F.when(k == 0, "p>a").when(k == 1, "p>a>em>b").otherwise("p>a>q>b"), F.lit("p>a")).alias("merges"))
+    tag = lambda c: F.concat(F.lit(">"), F.element_at(F.array(*map(F.lit, _TAGS)), (F.col(c) % len(_TAGS) + 1).cast("int")))
+    n, base = F.col("l_linenumber"), tag("l_partkey")
+    extra = F.concat(tag("l_suppkey"), F.when(n % 2 == 0, tag("l_orderkey")).otherwise(""))
+    rows = table(spark, sf_dir, "lineitem").select(F.when(n % 3 == 0, extra).when(n % 3 == 1, F.concat(base, extra)).otherwise(base).alias("format"), F.when(n % 5 == 0, "").otherwise(base).alias("run"))
+    return rows.withColumn("merges", I.merges_into(F.col("format"), F.col("run"))).groupBy("format", "run").agg(F.count("*").alias("n"), F.bool_and("merges").alias("merges"))
 
 
 @query()

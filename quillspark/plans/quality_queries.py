@@ -30,35 +30,42 @@ def pair_length_ratio(spark, sf_dir):
     return Q.scan(A.pairs(spark, sf_dir)).where("kind = 'length_ratio'").select("seg_id", "detail")
 
 
-_GROUPED = "[0-9]{1,3}([.,    ''’][0-9]{3})+"
+def _numbers(c: str) -> str:
+    """Numbers of a text as functions.text.numbers finds them, in DuckDB."""
+    flat = f"list_transform(string_split(regexp_replace(translate({c}, '₀₁₂₃₄₅₆₇₈₉', '0123456789'), '([0-9]{{1,3}}(?:[{_SEPARATORS}][0-9]{{3}})+)', chr(1) || '\\1' || chr(2), 'g'), chr(1)), lambda x: CASE WHEN contains(x, chr(2)) THEN regexp_replace(split_part(x, chr(2), 1), '[^0-9]', '', 'g') || split_part(x, chr(2), 2) ELSE x END)"
+    return f"list_filter(regexp_extract_all(array_to_string({flat}, ''), '[0-9]+'), lambda x: length(x) <= 6)"
 
 
-@query(
-    with_("pairs_numeric")
-    + """SELECT seg_id, list_filter(regexp_extract_all(regexp_replace(source, '(^|[^\\p{L}\\p{N}])1([ \\t\\r\\n]+\\p{L})', '\\1I\\2', 'g'), '[0-9]+'), lambda x: length(x) <= 6) AS numbers
-FROM pairs_numeric WHERE NOT regexp_matches(source, '[0-9][.,    ''’][0-9]')"""
-)
+_SEPARATORS = ".,    ''’"
+_PLAIN = "CASE WHEN len(regexp_extract_all({0}, '\\p{{Latin}}')) > greatest(len(regexp_extract_all({0}, '\\p{{Cyrillic}}')), len(regexp_extract_all({0}, '[\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}]'))) THEN regexp_replace({0}, '(^|[^\\p{{L}}\\p{{N}}])1([ \\t\\r\\n]+\\p{{L}})', '\\1I\\2', 'g') ELSE {0} END".format
+_GONE = f"""m AS (SELECT seg_id, s, t, {_numbers(_PLAIN("s"))} AS ns, {_numbers("t")} AS nt FROM n),
+g AS (SELECT seg_id FROM m WHERE s <> '' AND t <> '' AND NOT (length(s) >= 40 AND lower(s) = lower(t) AND regexp_matches(s, '\\p{{L}}{{2,}}'))
+  AND len(list_filter(list_distinct(ns), lambda v: len(list_filter(ns, lambda x: x = v)) > len(list_filter(nt, lambda x: x = v)) AND NOT (length(v) = 2 AND regexp_matches(t, '(^|[^0-9])(19|20)' || v || '($|[^0-9])')))) > 0)"""
+_ALL = f"""{_DEFECTS}, {_GONE}, k AS (SELECT seg_id, kind FROM d WHERE kind IS NOT NULL UNION ALL SELECT seg_id, 'missing_numbers' FROM g)"""
+
+
+@query(with_("pairs_numeric") + f"SELECT seg_id, {_numbers(_PLAIN('source'))} AS numbers FROM pairs_numeric")
 def source_numbers(spark, sf_dir):
-    from ..functions.text import numbers
+    from ..functions.text import dominant_script, numbers
 
-    rows = A.pairs_numeric(spark, sf_dir).where(~F.col("source").rlike("[0-9][.,    '’][0-9]"))
-    return rows.select("seg_id", numbers(F.regexp_replace("source", r"(?<![\p{L}\p{N}])1(?=[ \t\r\n]+\p{L})", "I")).alias("numbers"))
+    plain = F.when(dominant_script("source") == "latin", F.regexp_replace("source", r"(?<![\p{L}\p{N}])1(?=[ \t\r\n]+\p{L})", "I")).otherwise(F.col("source"))
+    return A.pairs_numeric(spark, sf_dir).select("seg_id", numbers(plain).alias("numbers"))
 
 
-@query()
+@query(with_("pairs_numeric", rest=_N.format("pairs_numeric")).rstrip() + f",\n{_GONE}\nSELECT seg_id FROM g")
 def pair_missing_numbers(spark, sf_dir):
-    return Q.scan(A.pairs_numeric(spark, sf_dir)).where("kind = 'missing_numbers'").select("seg_id", "detail")
+    return Q.scan(A.pairs_numeric(spark, sf_dir)).where("kind = 'missing_numbers'").select("seg_id")
 
 
-@query(_PAIRS.rstrip() + f",\n{_DEFECTS}\nSELECT seg_id, kind FROM d WHERE kind IS NOT NULL")
+@query(_PAIRS.rstrip() + f",\n{_ALL}\nSELECT seg_id, kind FROM k")
 def scan_defects(spark, sf_dir):
-    return Q.scan(A.pairs(spark, sf_dir)).where("kind in ('empty', 'untranslated', 'length_ratio')").select("seg_id", "kind")
+    return Q.scan(A.pairs(spark, sf_dir)).select("seg_id", "kind")
 
 
 _KINDS = ", ".join(f"count(*) FILTER (kind = '{k}')::BIGINT AS {k}" for k in Q.KINDS)
 
 
-@query(_PAIRS.rstrip() + f",\n{_DEFECTS}\nSELECT count(DISTINCT seg_id)::BIGINT AS defect_segments, count(DISTINCT seg_id)::BIGINT AS actionable_segments, 0::BIGINT AS advisory_segments, {_KINDS} FROM d WHERE kind IS NOT NULL")
+@query(_PAIRS.rstrip() + f",\n{_ALL}\nSELECT count(DISTINCT seg_id)::BIGINT AS defect_segments, count(DISTINCT seg_id) FILTER (kind <> 'source_residue')::BIGINT AS actionable_segments, count(DISTINCT seg_id) FILTER (kind = 'source_residue')::BIGINT AS advisory_segments, {_KINDS} FROM k")
 def scan_report(spark, sf_dir):
     return Q.scan_report(Q.scan(A.pairs(spark, sf_dir)))
 
@@ -94,15 +101,10 @@ def adjacent_repetitions(spark, sf_dir):
     return A.segments(spark, sf_dir).select("seg_id", Q.adjacent_repetitions("text").alias("repetitions")).where("repetitions > 0")
 
 
-@query(
-    with_("pairs")
-    + """SELECT seg_id, CASE WHEN trim(target) = '' THEN 'empty repair' WHEN target = source THEN NULL WHEN length(target) > 2 * length(source) + 20 THEN 'repair changes the block structure' ELSE 'other' END AS rejection
-FROM pairs WHERE trim(target) = '' OR length(target) > 2 * length(source) + 20"""
-)
+@query()
 def repair_review(spark, sf_dir):
-    pairs = A.pairs(spark, sf_dir)
-    found = pairs.select("seg_id", Q.repair_rejection(F.col("source"), F.col("target"), F.col("source")).alias("rejection"))
-    return found.where("rejection in ('empty repair', 'repair changes the block structure')")
+    """Every reply taken as a repair of its question: why it is refused, null if it isn't."""
+    return A.pairs(spark, sf_dir).select("seg_id", Q.repair_rejection(F.col("source"), F.col("target"), F.col("source")).alias("rejection"))
 
 
 _FINDINGS = """f AS (SELECT event_id AS seg_id, event_type IN ('error', 'signup') AS flagged, event_type = 'error' AS unresolved, event_id % 3 AS rejected_issues, CASE WHEN event_id % 50 = 0 THEN 'invalid_issues' END AS audit_error FROM events)"""
@@ -114,7 +116,7 @@ def quality_report(spark, sf_dir):
     return Q.quality_report(rows)
 
 
-@query(_PAIRS.rstrip() + f",\n{_DEFECTS}\nSELECT seg_id, true AS hard FROM d WHERE kind IS NOT NULL")
+@query(_PAIRS.rstrip() + f",\n{_ALL}\nSELECT seg_id, bool_or(kind <> 'missing_numbers') AS hard FROM k GROUP BY seg_id")
 def hard_defects(spark, sf_dir):
     return Q.has_hard_defect(Q.scan(A.pairs(spark, sf_dir)), "seg_id")
 
@@ -126,13 +128,14 @@ def segment_neighbours(spark, sf_dir):
 
 
 @query(
-    """WITH a AS (SELECT o_custkey AS batch_id, o_orderpriority AS seg_id, count(*) AS n, min(o_orderkey) AS k FROM orders GROUP BY ALL), e AS (SELECT DISTINCT o_custkey AS batch_id, p AS seg_id FROM orders, (SELECT DISTINCT o_orderpriority AS p FROM orders))
+    """WITH a AS (SELECT o_custkey AS batch_id, o_orderpriority AS seg_id, count(*) AS n, min(o_orderkey) AS k FROM orders GROUP BY ALL), e AS (SELECT DISTINCT o_custkey AS batch_id, p AS seg_id FROM orders, (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) AS p))
 SELECT e.batch_id, e.seg_id, CASE WHEN n = 1 AND k % 2 = 0 THEN 's' || k END AS span, CASE WHEN n = 1 AND k % 2 = 0 THEN NULL ELSE 'invalid_issues' END AS audit_error FROM e LEFT JOIN a USING (batch_id, seg_id)"""
 )
 def critic_answers(spark, sf_dir):
     orders = A.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("batch_id"), F.col("o_orderpriority").alias("seg_id"), "o_orderkey")
     issues = F.when(F.col("o_orderkey") % 2 == 0, F.format_string('[{"span":"s%d","type":"x","severity":"high","reason":"r"}]', "o_orderkey")).otherwise("nothing")
-    expected = orders.select("batch_id").distinct().join(F.broadcast(orders.select("seg_id").distinct()))  # five priorities
+    priorities = F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")))
+    expected = orders.select("batch_id").distinct().select("batch_id", F.explode(priorities).alias("seg_id"))
     found = Q.critic_answers(orders.withColumn("issues", issues), expected)
     return found.select("batch_id", "seg_id", F.col("issues")[0]["span"].alias("span"), "audit_error")
 

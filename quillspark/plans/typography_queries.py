@@ -14,7 +14,7 @@ from .registry import query
 _N = lambda p, c="text": f"len(regexp_extract_all({c}, '{p}'))"
 
 
-@query(f"""SELECT doc_id, {_N("«")}::INTEGER AS opening, {_N("»")}::INTEGER AS closing, {_N('"')}::INTEGER AS straight, {_N('"[^"«»]{1,240}»|«[^"«»]{1,240}"')}::INTEGER AS hybrid, {_N("««|»»")}::INTEGER AS doubled FROM documents""")
+@query(f"""SELECT doc_id, {_N("«")}::INTEGER AS opening, {_N("»")}::INTEGER AS closing, {_N('"')}::INTEGER AS straight, {_N(T.HYBRID)}::INTEGER AS hybrid, {_N(T.DOUBLED)}::INTEGER AS doubled FROM documents""")
 def quote_report(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.quote_report("text").alias("q")).select("doc_id", "q.*")
 
@@ -75,14 +75,14 @@ def duplicated_fragments(spark, sf_dir):
 
 @query()
 def quote_mechanics(spark, sf_dir):
-    text, n = T.applied_mechanics("text")
-    return T.straight_to_guillemets(A.segments(spark, sf_dir).select("seg_id", "text")).select("seg_id", F.sha2(text, 256).alias("hash"), n.alias("applied"))
+    """All documents' segments after the mechanical rules, read over whole documents."""
+    return T.mechanics(A.segments(spark, sf_dir)).select("seg_id", F.sha2("text", 256).alias("hash"), "applied")
 
 
-@query("SELECT doc_id, CASE WHEN lower(lang) NOT LIKE 'en%' THEN 'wrong language' END AS warning FROM documents WHERE lower(lang) NOT LIKE 'en%'")
+@query()
 def document_audit(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("title"), "lang", "text")
-    return T.audit(rows, "en-GB").where("warning in ('wrong language', 'empty document')")
+    return T.audit(rows, "en-GB")
 
 
 _DRAFTS = "d AS (SELECT doc_id, seg_pos AS pos, seg_id AS id, text AS original, CASE WHEN seg_pos % 5 = 0 THEN text WHEN seg_pos % 7 = 0 THEN NULL ELSE '[translated] ' || text END AS draft FROM segments)"

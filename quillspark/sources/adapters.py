@@ -43,8 +43,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with digits; the target of even ids has lost them."""
-    rows = table(spark, sf_dir, "documents").where(F.col("text").rlike("[0-9]"))
+    """Documents; the target of even ids has lost their digits."""
+    rows = table(spark, sf_dir, "documents")
     lost = F.regexp_replace("text", "[0-9]+", "")
     return rows.select(F.col("doc_id").cast("string").alias("seg_id"), F.col("text").alias("source"), F.when(F.col("doc_id") % 2 == 0, lost).otherwise(F.col("text")).alias("target"))
 
@@ -90,7 +90,7 @@ SQL = {
   CASE WHEN r2 = 'assistant' THEN coalesce(t2, '') ELSE '' END AS target
   FROM (SELECT *, lead(role) OVER w AS r2, lead(text) OVER w AS t2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user')""",
     "pairs_numeric": """pairs_numeric AS (SELECT doc_id::VARCHAR AS seg_id, text AS source, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '[0-9]+', '', 'g') ELSE text END AS target
-  FROM documents WHERE regexp_matches(text, '[0-9]'))""",
+  FROM documents)""",
     "segments": """segments AS (SELECT 'document-' || doc_id AS doc_id, i - 1 AS seg_pos, 'document-' || doc_id || ':' || lower(to_base(i - 1, 36)) AS seg_id, l[i] AS text
   FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))""",
     "journal": """journal AS (SELECT row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate)::BIGINT AS append_seq,

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Elements by what they do to a text. Fixed values.
 SKIPPED = ("script", "style", "pre", "code", "math", "svg")
-BLOCKS = tuple("address article aside blockquote body caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p section table tbody td tfoot th thead tr ul".split())
-INLINE = tuple("a abbr b bdi bdo big cite dfn em font i ins kbd mark q s samp small span strong sub sup tt u var".split())
+BLOCKS = tuple("address article aside blockquote body caption dd div dt figcaption figure footer h1 h2 h3 h4 h5 h6 header hgroup html li main nav p section td text th title".split())
+INLINE = tuple("a abbr b cite code del dfn em i ins kbd mark q rt ruby s samp small strong sub sup time u var".split())
 VOID = tuple("area base br col embed hr img input link meta param source track wbr".split())
 SEGMENT = "doc_id string, block int, seg_pos int, seg_id string, text string, source_hash string, leading string, trailing string, format string"
 

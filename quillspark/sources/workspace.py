@@ -64,3 +64,20 @@ def canon_names(value: object) -> list[tuple[str, str, str]]:
 def export(chapters: DataFrame, path: str) -> None:
     """One text file per chapter, the folder swapped as a whole by Spark's committer."""
     chapters.select("slug", F.concat(F.lit("# "), "title", F.lit("\n\n"), "text").alias("value")).repartition("slug").write.mode("overwrite").partitionBy("slug").text(path)
+
+
+CORPUS = "struct<version:int,description:string,minPassRate:double,cases:array<struct<id:string,original:string,draft:string,requiredAny:array<string>,forbidden:array<string>,requireChange:boolean,reviewNotes:string>>>"
+
+
+def read_corpus(spark, path: str):
+    """The cases of evaluation corpora under path, with their corpus's version and least pass rate; a corpus that breaks the schema, has
+    unknown keys, no cases or a rate outside 0..1 fails the read."""
+    from pyspark.sql import functions as F
+
+    known = {"version", "description", "minPassRate", "cases"}
+    rows = spark.read.text(path, wholetext=True).select(F.col("value"), F.from_json("value", CORPUS, {"mode": "FAILFAST"}).alias("c"))
+    keys = F.json_object_keys("value")
+    bad = F.size(F.array_except(keys, F.array(*map(F.lit, sorted(known))))) > 0
+    bad = bad | F.col("c.version").isNull() | (F.col("c.version") < 1) | (F.coalesce("c.description", F.lit("")) == "") | (F.coalesce(F.size("c.cases"), F.lit(0)) < 1) | ~F.coalesce(F.col("c.minPassRate"), F.lit(0.0)).between(0, 1)
+    checked = rows.select(F.when(bad, F.raise_error(F.lit("not an evaluation corpus"))).otherwise(F.col("c")).alias("c"))
+    return checked.select("c.version", "c.minPassRate", F.explode("c.cases").alias("x")).select("version", "minPassRate", "x.*").withColumn("requireChange", F.coalesce("requireChange", F.lit(True)))

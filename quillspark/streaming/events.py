@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.window import Window
 
 from ..operators import reports
 from ..sources.journal import append
@@ -50,17 +51,25 @@ def changed(events: DataFrame, value: str = "type") -> DataFrame:
 
 def numbered_sink(events: DataFrame, path: str, checkpoint: str, first: int = 1) -> StreamingQuery:
     """Appends events with ids that go on from the last one. A batch that is written again gets the same
-    ids, as its start is a function of what came before it."""
+    ids: the number after each batch stands in a small file of its own, and a batch starts from that of the one before."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        target = f"{path}/epoch={epoch}"
-        before = 0
-        if epoch:
-            counts = [spark.read.schema("id bigint").json(f"{path}/epoch={e}").count() for e in range(epoch)]
-            before = sum(counts)
-        ordered = batch.orderBy("timestamp", "job_id", "type").rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + before + first))
-        schema = batch.schema.add("id", "long")
-        append(spark.createDataFrame(ordered, schema), target, "overwrite")
+        schema = "epoch bigint, following bigint"
+        known = spark.read.schema(schema).json(f"{path}/_following/epoch={epoch - 1}").first() if epoch else None
+        start = known.following if known else first
+        order = ("timestamp", "job_id", "type")
+        rows = batch.repartitionByRange(8, *order).withColumn("_p", F.spark_partition_id()).persist()  # sorted by ranges, counted by range
+        try:
+            counts = {r["_p"]: r["count"] for r in rows.groupBy("_p").count().collect()}
+            before, total = {}, start
+            for p in sorted(counts):
+                before[p], total = total, total + counts[p]
+            offset = F.coalesce(*(F.when(F.col("_p") == p, F.lit(n)) for p, n in before.items()), F.lit(start))
+            place = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+            append(rows.withColumn("id", (offset + place).cast("bigint")).drop("_p"), f"{path}/epoch={epoch}", "overwrite")
+            append(spark.createDataFrame([(epoch, total)], schema), f"{path}/_following/epoch={epoch}", "overwrite")
+        finally:
+            rows.unpersist()
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -142,11 +142,8 @@ def test_replacement_is_single_pass(spark):
 
 
 def test_typography(spark):
-    row = spark.range(1).select(T.guillemet_faults(F.lit("«a\n«b»")), T.guillemet_faults(F.lit("a»")), T.duplicated_fragments(F.lit("У кролика кролике было")), T.written_out(F.lit("двадцать пять лет"), F.array(F.lit("двадцат"), F.lit("пят")))).first()
-    assert list(row) == [0, 1, ["кролика кролике"], True]
-    quoted = T.straight_to_guillemets(spark.createDataFrame([('Он сказал: "да" и "нет',)], "text string")).first().text
-    assert quoted == "Он сказал: «да» и «нет»"
-    assert T.clusters([("Алиса", 9), ("Элиса", 2), ("Шляпник", 3)], lambda a, b: sum(x != y for x, y in zip(a, b)) <= 1 and len(a) == len(b)) == [["Алиса", "Элиса"]]
+    row = spark.range(1).select(T.guillemet_faults(F.lit("«a\n«b»")), T.guillemet_faults(F.lit("a»")), T.duplicated_fragments(F.lit("У кролика кролике было"))).first()
+    assert list(row) == [0, 1, ["кролика кролике"]]
 
 
 def test_stratified_takes_turns(spark):
