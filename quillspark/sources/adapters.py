@@ -42,6 +42,17 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def aligned(sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """sources(seg_id, source, ...) with the target of targets(seg_id, target); '' where there is none."""
+    return sources.join(targets, "seg_id", "left").withColumn("target", F.coalesce("target", F.lit("")))
+
+
+def by_position(originals: DataFrame, drafts: DataFrame, doc: str = "doc_id", order: str = "seg_pos") -> DataFrame:
+    """originals and drafts of a document joined by their rank in it, whatever their ids."""
+    rank = F.row_number().over(Window.partitionBy(doc).orderBy(order))
+    return originals.withColumn("_i", rank).join(drafts.withColumn("_i", rank).drop(order), [doc, "_i"]).drop("_i")
+
+
 def pairs_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents; the target of even ids has lost their digits."""
     rows = table(spark, sf_dir, "documents")

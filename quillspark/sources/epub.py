@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ENTRY = "archive string, ordinal int, name string, compressed bigint, expanded bigint, method int, encrypted boolean"
@@ -25,8 +25,8 @@ def _open(data: bytes) -> zipfile.ZipFile:
     return zipfile.ZipFile(io.BytesIO(data))
 
 
-def scan_entries(spark: SparkSession, path: str) -> DataFrame:
-    """The directory of every archive under a path. Archives that don't open have one entry without a name."""
+def directory(archives: DataFrame) -> DataFrame:
+    """archives: archive, content. The directory of each; one that doesn't open has one entry without a name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -39,11 +39,11 @@ def scan_entries(spark: SparkSession, path: str) -> DataFrame:
             kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*zip(*rows)] or [()] * 7, kinds)], [x.split()[0] for x in ENTRY.split(", ")])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, ENTRY)
+    return archives.select("archive", "content").mapInArrow(run, ENTRY)
 
 
-def extract(spark: SparkSession, path: str, allowed: DataFrame) -> DataFrame:
-    """Entries' bytes of archives that the policy lets pass; allowed: archive."""
+def files(archives: DataFrame) -> DataFrame:
+    """archives: archive, content. Their entries' bytes, one row an entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,9 +52,21 @@ def extract(spark: SparkSession, path: str, allowed: DataFrame) -> DataFrame:
                     for x in z.infolist():
                         yield pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([posixpath.normpath(x.filename)]), pa.array([z.read(x)], pa.binary())], ["archive", "name", "data"])
 
-    rows = spark.read.format("binaryFile").load(path).select("path", "content")
-    good = rows.join(allowed.select(F.col("archive").alias("path")), "path", "left_semi")
-    return good.mapInArrow(run, "archive string, name string, data binary")
+    return archives.select("archive", "content").mapInArrow(run, "archive string, name string, data binary")
+
+
+def _archives(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), "content")
+
+
+def scan_entries(spark: SparkSession, path: str) -> DataFrame:
+    """The directory of every archive under a path."""
+    return directory(_archives(spark, path))
+
+
+def extract(spark: SparkSession, path: str, allowed: DataFrame) -> DataFrame:
+    """Entries' bytes of archives that the policy lets pass; allowed: archive."""
+    return files(_archives(spark, path).join(allowed.select("archive"), "archive", "left_semi"))
 
 
 def _local(tag: str) -> str:
@@ -160,3 +172,27 @@ def localized(package: str, language: str, modified: str) -> str:
 
     package = regex.sub(r"(<dc:language[^>]*>)[^<]*", rf"\g<1>{language}", package)
     return regex.sub(r'(property="dcterms:modified"[^>]*>)[^<]*', rf"\g<1>{modified}", package)
+
+
+def with_flattened_ruby(pages: DataFrame) -> DataFrame:
+    """pages(html, ...) with html without ruby, and readings, a map."""
+
+    def run(column: pa.Array) -> pa.Array:
+        out = [flattened_ruby(x or "") for x in column.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([[*r.items()] for _, r in out], pa.map_(pa.string(), pa.string()))], ["html", "readings"])
+
+    made = F.arrow_udf(run, "struct<html:string,readings:map<string,string>>").asNondeterministic()
+    return pages.withColumn("_r", made(F.col("html"))).withColumns({"html": F.col("_r.html"), "readings": F.col("_r.readings")}).drop("_r")
+
+
+def horizontal_column(c: str) -> Column:
+    """horizontal() of a column."""
+    return F.regexp_replace(F.col(c), r'(class="[^"]*)\b(?:vrtl|vltr)\b', "$1hltr")
+
+
+def localized_column(package: Column, language: str, modified: str) -> Column:
+    """localized() of a column."""
+    package = F.regexp_replace(package, "(<dc:language[^>]*>)[^<]*", f"$1{language}")
+    # a date begins with digits, which would read as part of the group's number
+    marked = F.regexp_replace(package, '(property="dcterms:modified"[^>]*>)[^<]*', "$1\x01")
+    return F.replace(marked, F.lit("\x01"), F.lit(modified))
