@@ -1,6 +1,6 @@
 """BPE encoding and decoding by prefix-sharing trie traversal.
 
-The distinct words of a batch go into a trie. A depth-first walk gives every node the last token of its
+The distinct words of a batch of texts, those not met before, go into a trie. A depth-first walk gives every node the last token of its
 prefix's encoding; a token may follow the last token of the prefix before it only if the two, merged
 by rank, stay two tokens. An encoding is read back along these last tokens, so a prefix that many words
 share is encoded once. Words are what the vocabulary's own normalizer and splitter make of the text.
@@ -12,7 +12,7 @@ import functools
 import hashlib
 import json
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from itertools import pairwise
 from struct import pack
 
@@ -25,6 +25,8 @@ from .common import arrow, prepare, read_table, stage_of
 
 #: Encoded words that a Python worker remembers; the memory is emptied beyond that.
 REMEMBERED = 1_000_000
+#: Characters of the texts whose words share a trie.
+PART = 1 << 21
 END = "</w>"
 #: Characters whose lower case and classes are the same for Python and the tokenizers library.
 _PLAIN = re.compile("[\x00-įı-ſ‐-‧]*")
@@ -179,6 +181,19 @@ def _encoder(config: str) -> TrieEncoder:
     return TrieEncoder(config)
 
 
+def _parts(texts: list[str | None]) -> Iterator[list[str]]:
+    """Texts that share a trie: as they come, until they have PART characters; that bounds the words in hand."""
+    part, held = [], 0
+    for text in texts:
+        part.append(text or "")
+        held += len(part[-1])
+        if held >= PART:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -202,8 +217,8 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, text: str = "text",
         encoder = _encoder(config.value)
         rows = []
         values = column.to_pylist()
-        for i in range(0, len(values), 64):  # bounds the words in hand
-            for ids in encoder.encode_batch([x or "" for x in values[i : i + 64]]):
+        for part in _parts(values):
+            for ids in encoder.encode_batch(part):
                 plain = encoder.decode(ids)
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(plain.encode()).hexdigest(), *((ids, plain) if texts else ())))
         columns = [*zip(*rows)] or [()] * (5 if texts else 3)
