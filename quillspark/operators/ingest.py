@@ -166,22 +166,27 @@ def epubcheck_counts(lines: DataFrame) -> DataFrame:
 
 
 def scenes(lines: DataFrame) -> DataFrame:
-    """lines: doc_id, pos, text. Paragraphs of a Markdown manuscript with the scene they stand in; s0 before
-    the first marker <!-- scene: id -->."""
+    """lines: doc_id, pos, text. Paragraphs of a Markdown manuscript as XHTML with the scene they stand in; s0 before the
+    first marker <!-- scene: id -->. Blank lines part paragraphs, line ends within one stay."""
     w = Window.partitionBy("doc_id").orderBy("pos")
-    marker = F.nullif(F.regexp_extract("text", r"^<!--\s*scene:\s*([A-Za-z0-9_-]+)\s*-->$", 1), F.lit(""))
+    marker = F.nullif(F.regexp_extract("text", r"^[ \t]*<!--\s*scene:\s*(\S+?)\s*-->[ \t]*$", 1), F.lit(""))
     rows = lines.withColumn("scene", F.coalesce(F.last(marker, True).over(w), F.lit("s0"))).withColumn("marker", marker).where("marker is null")
     rows = rows.withColumn("par", F.sum((F.trim("text") == "").cast("int")).over(w)).where(F.trim("text") != "")
-    out = rows.groupBy("doc_id", "scene", "par").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text"))
+    out = rows.groupBy("doc_id", "scene", "par").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("text"))
     return out.select("doc_id", "scene", "par", inline_markdown("text").alias("html"))
 
 
 def inline_markdown(c: Column | str) -> Column:
-    safe = F.replace(F.replace(F.replace(col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    safe = F.regexp_replace(safe, r"\*\*([^*]+)\*\*", "<strong>$1</strong>")
-    safe = F.regexp_replace(safe, r"\*([^*]+)\*", "<em>$1</em>")
-    heading = F.length(F.regexp_extract(safe, "^(#{1,6}) ", 1))
-    return F.when(heading > 0, F.concat(F.lit("<h"), heading, F.lit(">"), F.regexp_replace(safe, "^#{1,6} ", ""), F.lit("</h"), heading, F.lit(">"))).otherwise(F.concat(F.lit("<p>"), safe, F.lit("</p>")))
+    """A paragraph of Markdown: one line after #s is a heading, else a paragraph; strong, em, line breaks."""
+    text = col(c)
+    hashes = F.length(F.regexp_extract(text, r"^(#{1,6})\s+.*$", 1))
+    body = F.when(hashes > 0, F.regexp_replace(text, r"^#{1,6}\s+", "")).otherwise(text)
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        body = F.replace(body, F.lit(sign), F.lit(entity))
+    body = F.regexp_replace(body, r"\*\*([^*\n]+?)\*\*", "<strong>$1</strong>")
+    body = F.replace(F.regexp_replace(body, r"\*([^*\n]+?)\*", "<em>$1</em>"), F.lit("\n"), F.lit("<br/>"))
+    tag = F.when(hashes > 0, F.concat(F.lit("h"), hashes)).otherwise("p")
+    return F.concat(F.lit("<"), tag, F.lit(">"), body, F.lit("</"), tag, F.lit(">"))
 
 
 def latin_fonts(families: Column, japanese: tuple[str, ...] = ("mincho", "gothic", "ryumin", "hiragino", "meiryo", "yu ", "kaku")) -> Column:

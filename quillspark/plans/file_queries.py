@@ -9,7 +9,7 @@ from ..operators import journal as J
 from ..operators import quality as Q
 from ..operators import typography as T
 from ..sources import adapters as A
-from ..sources import epub, journal, repair, scratch, workspace
+from ..sources import epub, journal, localize, repair, scratch, workspace
 from ..sources.adapters import table, with_
 from .registry import query
 
@@ -122,11 +122,22 @@ def flattened_ruby(spark, sf_dir):
     return epub.with_flattened_ruby(table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), text.alias("html"))).select("id", "html")
 
 
-@query("""SELECT c_custkey AS id, '<p class="a hltr">' || c_name || '</p>' AS html, '<dc:language>ru</dc:language><meta property="dcterms:modified">2026-01-02</meta>' AS package FROM customer""")
-def horizontal_layout(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit('<p class="a '), F.when(F.col("c_custkey") % 2 == 0, "vrtl").otherwise("vltr"), F.lit('">'), "c_name", F.lit("</p>")).alias("html"))
-    package = F.lit('<dc:language>ja</dc:language><meta property="dcterms:modified">2020</meta>')
-    return rows.select("id", epub.horizontal_column("html").alias("html"), epub.localized_column(package, "ru", "2026-01-02").alias("package"))
+@query("""SELECT c_custkey AS id, '<html lang="ru" xml:lang="ru"><link rel="' || CASE WHEN c_custkey % 2 = 0 THEN 'alternate stylesheet' ELSE 'stylesheet' END || '" class="' || CASE WHEN c_custkey % 2 = 0 THEN 'vertical' ELSE 'horizontal' END || '"/><p class="a hltr" lang="ru">' || c_name || '</p></html>' AS xml, 5 AS changes FROM customer""")
+def translated_pages(spark, sf_dir):
+    """Pages of a vertical book: language and direction."""
+    even = F.col("c_custkey") % 2 == 0
+    link = F.when(even, '<link rel="stylesheet" class="vertical"/>').otherwise('<link rel="alternate stylesheet" class="horizontal"/>')
+    xml = F.concat(F.lit('<html lang="ja">'), link, F.lit('<p class="a '), F.when(even, "vrtl").otherwise("vltr"), F.lit('" lang="ja">'), "c_name", F.lit("</p></html>"))
+    return localize.changed(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), xml.alias("xml")), lambda d: localize.content_language(d, "ru"), localize.content_direction)
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN '<package version="3.0" xml:lang="ru"><metadata><language>ru</language><meta property="dcterms:modified">2026-01-02</meta><meta name="generator" content="g"/></metadata><spine page-progression-direction="ltr"/></package>'
+  ELSE '<package version="2.0"><metadata><language>ru</language><meta name="generator" content="g"/></metadata><spine/></package>' END AS xml, CASE WHEN c_custkey % 2 = 0 THEN 4 ELSE 2 END AS changes FROM customer""")
+def translated_packages(spark, sf_dir):
+    third = F.lit('<package version="3.0"><metadata><language>ja</language></metadata><spine page-progression-direction="rtl"/></package>')
+    second = F.lit('<package version="2.0"><metadata><language>ja</language><meta name="generator" content="x"/></metadata><spine/></package>')
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, third).otherwise(second).alias("xml"))
+    return localize.changed(rows, lambda d: localize.package_language(d, "ru", "2026-01-02", "g"), localize.package_direction)
 
 
 @query("SELECT 'o' || o_custkey AS slug, count(*)::BIGINT AS lines FROM orders WHERE o_custkey < 40 GROUP BY 1")

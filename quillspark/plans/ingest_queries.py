@@ -6,6 +6,7 @@ from ..functions.text import redacted, slug
 from ..operators import ingest as I
 from ..sources import adapters as A
 from ..sources import html as H
+from ..sources import workspace
 from ..sources.adapters import table, with_
 from .registry import query
 
@@ -161,7 +162,16 @@ def format_merges(spark, sf_dir):
     return rows.withColumn("merges", I.merges_into(F.col("format"), F.col("run"))).groupBy("format", "run").agg(F.count("*").alias("n"), F.bool_and("merges").alias("merges"))
 
 
-@query()
+@query("""WITH t AS (SELECT c_custkey AS k, c_name AS n FROM customer)
+SELECT 'c' || k AS doc_id, 's0' AS scene, '<h1>Of <em>' || n || '</em></h1>' AS html FROM t UNION ALL SELECT 'c' || k, 's0', '<p>a &lt; &quot;<strong>b</strong>&quot;<br/>c</p>' FROM t UNION ALL SELECT 'c' || k, 'x-' || k, '<p>d</p>' FROM t""")
 def markdown_scenes(spark, sf_dir):
-    rows = A.segments(spark, sf_dir).select("doc_id", F.col("seg_pos").alias("pos"), F.when(F.col("seg_pos") % 7 == 3, F.concat(F.lit("<!-- scene: s"), F.col("seg_pos"), F.lit(" -->"))).otherwise(F.col("text")).alias("text"))
-    return I.scenes(rows)
+    lines = F.array(F.concat(F.lit("# Of *"), "c_name", F.lit("*")), F.lit(""), F.lit('a < "**b**"'), F.lit("c"), F.concat(F.lit(" <!-- scene:  x-"), "c_custkey", F.lit(" --> ")), F.lit("d"))
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("doc_id"), F.posexplode(lines).alias("pos", "text"))
+    return I.scenes(rows).select("doc_id", "scene", "html")
+
+
+@query("SELECT 'o' || o_custkey AS slug, 's' || (o_orderkey % 5) AS scene FROM orders GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_scenes(spark, sf_dir):
+    line = F.concat(F.lit("<!-- scene: s"), F.col("o_orderkey") % 5, F.lit(" -->"))
+    chapters = table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("o"), "o_custkey").alias("slug")).agg(F.array_join(F.collect_list(line), "\ntext\n").alias("text"))
+    return workspace.duplicate_scenes(chapters)

@@ -7,7 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLUG = re.compile(r"[a-z0-9][a-z0-9-]*")
+SLUG = re.compile(r"(?i)[a-z0-9][a-z0-9._-]*")
+SCENE = r"(?m)^[ \t]*<!--\s*scene:\s*(\S+?)\s*-->[ \t]*$"
 #: Kinds of canon entries, as the workspace and the glossary call them. Fixed values.
 CANON = {"character": "person", "person": "person", "place": "place", "location": "place", "organization": "organization", "ship": "ship"}
 
@@ -81,3 +82,9 @@ def read_corpus(spark, path: str):
     bad = bad | F.col("c.version").isNull() | (F.col("c.version") < 1) | (F.coalesce("c.description", F.lit("")) == "") | (F.coalesce(F.size("c.cases"), F.lit(0)) < 1) | ~F.coalesce(F.col("c.minPassRate"), F.lit(0.0)).between(0, 1)
     checked = rows.select(F.when(bad, F.raise_error(F.lit("not an evaluation corpus"))).otherwise(F.col("c")).alias("c"))
     return checked.select("c.version", "c.minPassRate", F.explode("c.cases").alias("x")).select("version", "minPassRate", "x.*").withColumn("requireChange", F.coalesce("requireChange", F.lit(True)))
+
+
+def duplicate_scenes(chapters: DataFrame) -> DataFrame:
+    """slug, scene: scene ids that stand twice in a chapter."""
+    found = chapters.select("slug", F.explode(F.regexp_extract_all("text", F.lit(SCENE), 1)).alias("scene"))
+    return found.groupBy("slug", "scene").agg(F.count("*").alias("n")).where("n > 1").select("slug", "scene")
