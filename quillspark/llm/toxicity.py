@@ -1,10 +1,11 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two interpolated Kneser-Ney models spell words character by character, one after toxic documents, one after
-ordinary ones. Their long contexts have counts of their own, the short ones share continuation counts, so
-a rare expression, or a rare form of one, borrows from what it looks like. A word's evidence is the
-difference of its two log-likelihoods by character; a document's is the difference by character over all it has,
-and the strongest of its words. A logistic curve fitted on labelled rows of their own makes it a score.
+Two interpolated Kneser-Ney models, one after toxic documents, one after ordinary ones. Their highest order is words
+after the word before them. What it hasn't seen backs off to a model that spells words character by character, whose
+long contexts have counts of their own and whose short ones share continuation counts between the classes: so a
+rare expression, or a rare form of one, borrows from what it looks like. A document's evidence is the difference of
+its two log-likelihoods by character, and that of its strongest words and pairs. A logistic curve fitted on
+labelled rows of their own makes it a score.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, prepare, read_table
+from .common import arrow, keep, prepare, read_table
 
 #: Labelled documents of each class that the models, and the curve, are fitted on at most.
 MODEL_DOCS, CURVE_DOCS = 2000, 1000
@@ -28,6 +29,8 @@ ORDER, SHARED = 6, 2
 #: Characters of a word that are scored, and remembered, as one.
 PIECE = 40
 DISCOUNT = 0.75
+#: Documents that a pair of words must stand in to be one of the highest order; the mass of others goes to the backoff.
+PAIR_DOCS = 2
 #: Words whose evidence a worker remembers.
 REMEMBERED = 400_000
 STRONGEST = 3
@@ -77,7 +80,7 @@ class KneserNey:
             grams = below
             for c in (0, 1):
                 self.levels[c][n] = self._contexts(grams[c])
-        self.memory: list[dict[str, float]] = [{}, {}]
+        self.memory: dict[str, tuple[float, float]] = {}
 
     @staticmethod
     def _contexts(grams: dict[str, int]) -> tuple[dict, dict]:
@@ -99,36 +102,78 @@ class KneserNey:
         total, types = known
         return max(counts.get(gram, 0) - DISCOUNT, 0) / total + DISCOUNT * types / total * lower
 
-    def evidence(self, word: str) -> float:
-        """Toxic minus ordinary log-likelihood of a word, all characters and its end together."""
-        s, out, memory = f"\x02{word}\x03", 0.0, self.memory[0]
+    def logs(self, word: str) -> tuple[float, float]:
+        """Toxic and ordinary log-likelihood of a word, all characters and its end together."""
+        s, t, o, memory = f"\x02{word}\x03", 0.0, 0.0, self.memory
         for i in range(1, len(s)):
             gram = s[max(0, i + 1 - ORDER) : i + 1]
             x = memory.get(gram)
             if x is None:
                 if len(memory) > 2_000_000:
                     memory.clear()
-                x = memory[gram] = math.log(self.p(0, gram, ORDER) / self.p(1, gram, ORDER))
-            out += x
-        return out
+                x = memory[gram] = math.log(self.p(0, gram, ORDER)), math.log(self.p(1, gram, ORDER))
+            t += x[0]
+            o += x[1]
+        return t, o
+
+
+class Pairs:
+    """The highest order: evidence of words after the word before, and of a word's backoff for all others.
+
+    pairs: {(first, second): (toxic, ordinary)}, firsts: {first: (toxic, ordinary)}, all pairs that it begins; numbers
+    of documents. What pairs lacks of firsts is backoff mass, as are the discounts.
+    """
+
+    def __init__(self, model: KneserNey, pairs: dict, firsts: dict) -> None:
+        self.after: dict[str, dict[str, float]] = {}
+        self.backoff: dict[str, float] = {}
+        logs = {w: model.logs(w) for w in {b for _, b in pairs}}
+        kept = defaultdict(lambda: [0.0, 0.0])
+        for (a, _), counts in pairs.items():
+            for c in (0, 1):
+                kept[a][c] += max(counts[c] - DISCOUNT, 0.0)
+        for a, mass in kept.items():
+            total = firsts[a]
+            left = [1 - m / n if n else 1.0 for m, n in zip(mass, total)]
+            self.backoff[a] = math.log(left[0] / left[1])
+            kept[a] = left
+        for (a, b), counts in pairs.items():
+            p = [(max(counts[c] - DISCOUNT, 0.0) / firsts[a][c] if firsts[a][c] else 0.0) + kept[a][c] * math.exp(max(logs[b][c], -600.0)) for c in (0, 1)]
+            self.after.setdefault(a, {})[b] = math.log(p[0] / p[1])
 
 
 class Scorer:
-    def __init__(self, words: dict[str, tuple[int, int]]) -> None:
-        self.model, self.known = KneserNey(words), {}
+    def __init__(self, words: dict[str, tuple[int, int]], pairs: Pairs | None = None) -> None:
+        self.model, self.known, self.pairs = KneserNey(words), {}, pairs
+
+    def evidence(self, word: str) -> float:
+        t, o = self.model.logs(word)
+        return t - o
 
     def features(self, text: str) -> list[float]:
+        """Strongest words by character, mean by character over all the text, of what speaks for toxic alone, logarithm of
+        the number of words, and strongest pair by character."""
         words = words_of(text)
         if not words:
-            return [0.0] * (STRONGEST + 3)
+            return [0.0] * FEATURES
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
         for w in set(words).difference(known):
-            known[w] = self.model.evidence(w)
+            known[w] = self.evidence(w)
         found = sorted((known[w] / (len(w) + 1) for w in {*words}), reverse=True)[:STRONGEST]
-        every, length = [known[w] for w in words], sum(map(len, words)) + len(words)
-        return [*found, *[min(found[-1], 0.0)] * (STRONGEST - len(found)), sum(every) / length, sum(x for x in every if x > 0) / length, math.log(len(words))]
+        every, length, strongest = [known[w] for w in words], sum(map(len, words)) + len(words), 0.0
+        if self.pairs is not None:
+            after, backoff = self.pairs.after.get, self.pairs.backoff
+            for i, a in enumerate(words[:-1], 1):
+                if (follow := after(a)) is not None:
+                    b = words[i]
+                    if (x := follow.get(b)) is None:
+                        every[i] += backoff[a]
+                    else:
+                        every[i] = x
+                        strongest = max(strongest, x / (len(b) + 1))
+        return [*found, *[min(found[-1], 0.0)] * (STRONGEST - len(found)), sum(every) / length, sum(x for x in every if x > 0) / length, math.log(len(words)), strongest]
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,7 +191,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[np.ndarra
     return mean, scale, w
 
 
-FEATURES = STRONGEST + 3
+FEATURES = STRONGEST + 4
 _SCORERS: dict[int, Scorer] = {}
 
 
@@ -154,12 +199,12 @@ def _scorer(words) -> Scorer:
     """One scorer a worker for the latest model."""
     if words.id not in _SCORERS:
         _SCORERS.clear()
-        _SCORERS[words.id] = Scorer(words.value)
+        _SCORERS[words.id] = Scorer(*words.value)
     return _SCORERS[words.id]
 
 
 class _Words:
-    """The broadcast counts with a name that workers can tell models by."""
+    """The broadcast counts of words, and pairs, with a name that workers can tell models by."""
 
     def __init__(self, broadcast) -> None:
         self.broadcast, self.id = broadcast, broadcast._jbroadcast.id()
@@ -201,7 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, model_docs: int = MODEL_DOCS, curv
 
     Folds 1 to 3 give the word counts, fold 4 the curve. Of each class at most model_docs and curve_docs
     labelled rows count, those with the least hashed ids: the sample is the same in every run, and what
-    reaches the driver, its distinct words with counts, is bounded by it.
+    reaches the driver, its distinct words, and pairs in PAIR_DOCS documents, with counts, is bounded by it.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -212,23 +257,35 @@ def train(docs: DataFrame, labels: DataFrame, model_docs: int = MODEL_DOCS, curv
         ids = parts[0].unionByName(parts[1])
         return docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "toxic")), "doc_id")  # at most 2 n rows
 
-    schema = pa.schema([("word", pa.string()), ("toxic", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("toxic", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words (with no second) and pairs of words of each document, once each."""
         for batch in batches:
-            rows = [(w, t) for t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in sorted({*words_of(text or "")})]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([t for _, t in rows], pa.int64()), pa.array([1] * len(rows), pa.int64())], schema=schema)
-
-    rows = sample("f < 4", model_docs).select("toxic", "text").mapInArrow(count, "word string, toxic bigint, n bigint")
-    table = rows.groupBy("word").agg(F.sum(F.col("toxic") * F.col("n")).alias("t"), F.sum((1 - F.col("toxic")) * F.col("n")).alias("o")).toArrow()
-    counts = {w: (t, o) for w, t, o in sorted(zip(*(table.column(i).to_pylist() for i in range(3))))}
+            for t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(text or "")
+                rows = [*((w, None) for w in sorted({*words})), *sorted({*zip(words, words[1:])})]
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.string()), pa.array([b for _, b in rows], pa.string()), pa.array([t] * len(rows), pa.int64()), pa.array([1] * len(rows), pa.int64())], schema=schema)
+
+    def collected(df: DataFrame, keys: int) -> dict:
+        table = df.toArrow()
+        rows = sorted(zip(*(table.column(i).to_pylist() for i in range(keys + 2))))
+        return {r[0] if keys == 1 else r[:2]: r[-2:] for r in rows}
+
+    rows = sample("f < 4", model_docs).select("toxic", "text").mapInArrow(count, "a string, b string, toxic bigint, n bigint")
+    both = (F.sum(F.col("toxic") * F.col("n")).alias("t"), F.sum((1 - F.col("toxic")) * F.col("n")).alias("o"))
+    table = keep(rows.groupBy("a", "b").agg(*both), "counts")
+    counts = collected(table.where("b is null").select("a", "t", "o"), 1)
     if not any(t for t, _ in counts.values()) or not any(o for _, o in counts.values()):
         return Model(None, None, float(any(t for t, _ in counts.values())))
-    words = _Words(spark.sparkContext.broadcast(counts))
+    frequent = table.where(F.col("b").isNotNull() & (F.col("t") + F.col("o") >= PAIR_DOCS))
+    firsts = table.where("b is not null").groupBy("a").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.max((F.col("t") + F.col("o") >= PAIR_DOCS).cast("int")).alias("f")).where("f = 1").select("a", "t", "o")
+    pairs = Pairs(KneserNey(counts), collected(frequent.select("a", "b", "t", "o"), 2), collected(firsts, 1))
+    words = _Words(spark.sparkContext.broadcast((counts, pairs)))
     found = sorted((r.toxic, list(r._x)) for r in with_features(sample("f = 4", curve_docs), words).select("toxic", "_x").collect())
     y = np.array([t for t, _ in found], float)
     if not 0 < y.sum() < len(y):  # a curve needs both classes
-        return Model(words, (np.zeros(FEATURES), np.ones(FEATURES), np.array([0.1] * STRONGEST + [0.0] * 3 + [-1.0])))
+        return Model(words, (np.zeros(FEATURES), np.ones(FEATURES), np.array([0.1] * STRONGEST + [0.0] * 4 + [-1.0])))
     return Model(words, fit_curve(np.array([x for _, x in found]), y))
 
 

@@ -373,3 +373,16 @@ def test_oracles(spark, query, sql):
     found = con.execute(sql)
     names = [d[0] for d in found.description]
     assert sorted(map(str, (tuple(r) for r in df.select(names).collect()))) == sorted(map(str, found.fetchall()))
+
+
+def test_pairs_of_words_are_smoothed_by_the_spelling_model():
+    words = {"you": (50, 50), "cold": (20, 20), "fish": (25, 25), "fresh": (5, 30)}
+    pairs = {("cold", "fish"): (20, 1), ("fresh", "fish"): (2, 24)}
+    model = toxicity.Pairs(toxicity.KneserNey(words), pairs, {"cold": (21, 20), "fresh": (5, 30)})
+    assert model.after["cold"]["fish"] > 1 > -1 > model.after["fresh"]["fish"]
+    scorer = toxicity.Scorer(words, model)
+    mean = toxicity.STRONGEST
+    assert scorer.features("you cold fish")[mean] > scorer.features("cold you fish")[mean]  # the words alone are no sign
+    # a class's probabilities after a word sum to one: what pairs lack goes to the backoff
+    left = {c: 1 - (max(pairs["cold", "fish"][c] - toxicity.DISCOUNT, 0)) / (21, 20)[c] for c in (0, 1)}
+    assert abs(model.backoff["cold"] - math.log(left[0] / left[1])) < 1e-12
