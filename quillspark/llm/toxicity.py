@@ -4,7 +4,7 @@ Two interpolated Kneser-Ney models, one after toxic documents, one after ordinar
 after the word before them. What it hasn't seen backs off to a model that spells words character by character, whose
 long contexts have counts of their own and whose short ones share continuation counts between the classes: so a
 rare expression, or a rare form of one, borrows from what it looks like. A document's evidence is the difference of
-its two log-likelihoods by character, and that of its strongest words and pairs. A logistic curve fitted on
+its two log-likelihoods by word, and that of its strongest words and pairs by character. A logistic curve fitted on
 labelled rows of their own makes it a score.
 """
 
@@ -151,7 +151,7 @@ class Scorer:
         return t - o
 
     def features(self, text: str) -> list[float]:
-        """Strongest words by character, mean by character over all the text, of what speaks for toxic alone, logarithm of
+        """Strongest words by character, mean by word over all the text, of what speaks for toxic alone, logarithm of
         the number of words, and strongest pair by character."""
         words = words_of(text)
         if not words:
@@ -162,7 +162,7 @@ class Scorer:
         for w in set(words).difference(known):
             known[w] = self.evidence(w)
         found = sorted((known[w] / (len(w) + 1) for w in {*words}), reverse=True)[:STRONGEST]
-        every, length, strongest = [known[w] for w in words], sum(map(len, words)) + len(words), 0.0
+        every, length, strongest = [known[w] for w in words], len(words), 0.0
         if self.pairs is not None:
             after, backoff = self.pairs.after.get, self.pairs.backoff
             for i, a in enumerate(words[:-1], 1):
@@ -173,7 +173,7 @@ class Scorer:
                     else:
                         every[i] = x
                         strongest = max(strongest, x / (len(b) + 1))
-        return [*found, *[min(found[-1], 0.0)] * (STRONGEST - len(found)), sum(every) / length, sum(x for x in every if x > 0) / length, math.log(len(words)), strongest]
+        return [*found, *[min(found[-1], 0.0)] * (STRONGEST - len(found)), sum(every) / length, sum(x for x in every if x > 0) / length, math.log(length), strongest]
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
