@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import bounded, clipped, col, collapsed, count_of, escaped, mentions, occurrences
+from ..sources.scratch import kept
 from . import entities as E
 from . import typography as T
 
@@ -231,15 +232,16 @@ def consistency_pass(sources: DataFrame, targets: DataFrame, glossary: DataFrame
     adherence of the glossary, the entities and the diagnostics.
     """
     mechanics = capabilities(language).get("mechanics", lambda t: t.withColumn("applied", F.lit(0)))
-    first = mechanics(targets.select("doc_id", "seg_pos", "seg_id", "text")).withColumnRenamed("applied", "first_mechanics")
-    decided = replaced(first, decided_replacements(sources, first, decisions)).withColumnRenamed("applied", "decided")
-    aligned = replaced(decided, glossary_replacements(sources, decided, glossary)).withColumnRenamed("applied", "aligned")
+    step = lambda df, name: kept(df.withColumnRenamed("applied", name), name)  # noqa: E731  each step is read several times after
+    first = step(mechanics(targets.select("doc_id", "seg_pos", "seg_id", "text")), "first_mechanics")
+    decided = step(replaced(first, decided_replacements(sources, first, decisions)), "decided")
+    aligned = step(replaced(decided, glossary_replacements(sources, decided, glossary)), "aligned")
     labels = aligned.join(sources.select("seg_id", F.col("text").alias("source")), "seg_id").join(navigation, "doc_id", "left")
     labels = E.navigation_labels(labels.select(F.coalesce("role", F.lit("text")).alias("role"), F.struct("doc_id", "seg_pos").alias("ord"), "source", F.col("text").alias("target")))
     labels = labels.select(F.col("ord.doc_id").alias("_d"), F.col("ord.seg_pos").alias("_p"), "authority")
     named = aligned.join(labels, (F.col("doc_id") == F.col("_d")) & (F.col("seg_pos") == F.col("_p")), "left")
     named = named.withColumns({"text": F.coalesce("authority", "text"), "labelled": F.col("authority").isNotNull().cast("int")}).drop("_d", "_p", "authority")
-    last = mechanics(named).withColumnRenamed("applied", "last_mechanics")
+    last = step(mechanics(named), "last_mechanics")
     pairs = sources.select("seg_id", F.col("text").alias("source")).join(last.select("seg_id", F.col("text").alias("target")), "seg_id")
     entities, diagnostics = report(sources, last, glossary, language)
     return {"texts": last, "adherence": E.adherence(pairs, glossary), "entities": entities, "diagnostics": diagnostics}
