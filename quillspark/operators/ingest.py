@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import base36, col, let
@@ -21,28 +25,35 @@ _SENTENCE = r"(?<=[.!?])\s+|(?<=[。！？])(?![」』）】\s])"
 def with_batches(segments: DataFrame, doc: str = "doc_id", order: str = "seg_pos", chars: int = BATCH_CHARS, most: int = BATCH_SEGMENTS) -> DataFrame:
     """Segments with batch_no, counted from 1 in each document: a batch is closed before a segment that would
     bring it above `chars` or `most`. A segment above `chars` is cut into chunks of whole sentences, a
-    batch each; the batch before it stays open."""
-    item = F.struct(F.col(order).alias("o"), *(F.col(c) for c in segments.columns if c != order))
-    rows = segments.groupBy(doc).agg(F.array_sort(F.collect_list(item)).alias("l"))
-
-    def add(a: Column, x: Column) -> Column:
-        n = F.length(x["text"])
-        big = n > chars
-        full = (a["n"] > 0) & ((a["chars"] + n > chars) | (a["n"] >= most))
-        mine = F.when(a["n"] == 0, a["next"]).when(full, a["next"]).otherwise(a["open"])
-        taken = F.when(~big & ((a["n"] == 0) | full), 1).otherwise(0)
-        kept_n = F.when(full, 0).otherwise(a["n"])
-        pieces = F.when(big, F.size(chunks(x["text"], chars))).otherwise(0)
-        return F.struct(
-            F.when(big, F.when(full, -1).otherwise(a["open"])).otherwise(mine).cast("int").alias("open"), (a["next"] + taken + pieces).cast("int").alias("next"),
-            F.when(big, kept_n).otherwise(kept_n + 1).cast("int").alias("n"), F.when(big, F.when(full, 0).otherwise(a["chars"])).otherwise(F.when(full, 0).otherwise(a["chars"]) + n).cast("int").alias("chars"),
-            F.concat(a["out"], F.array(F.when(big, a["next"]).otherwise(mine).cast("int"))).alias("out"),
-        )
-
-    start = F.struct(F.lit(-1).alias("open"), F.lit(1).alias("next"), F.lit(0).alias("n"), F.lit(0).alias("chars"), F.array().cast("array<int>").alias("out"))
-    numbered = rows.withColumn("b", F.aggregate("l", start, add)["out"])
-    out = numbered.select(doc, F.explode(F.arrays_zip("l", "b")).alias("z")).select(F.col("z.l.o").alias(order), *(F.col(f"z.l.{c}").alias(c) for c in segments.columns if c != order), F.col("z.b").alias("batch_no"))
-    return out
+    batch each; the batch before it stays open. Segments stream by in order with a few numbers of state, so a document
+    may have any length; that state is bound to their order, so an Arrow function."""
+    columns = [c for c in segments.columns if c != "batch_no"]
+    big = F.length("text") > chars
+    rows = segments.select(*columns, F.length("text").alias("_n"), F.when(big, F.size(chunks(F.col("text"), chars))).otherwise(0).alias("_pieces"))
+    schema = T.StructType([*segments.select(*columns).schema.fields, T.StructField("batch_no", T.IntegerType())])
+    key = columns.index(doc)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, following, number, held, count = object(), 1, 0, 0, 0  # of the open batch: its number, characters, segments
+        for batch in batches:
+            out = []
+            for d, n, pieces in zip(batch.column(key).to_pylist(), *(batch.column(batch.num_columns - i).to_pylist() for i in (2, 1))):
+                if d != at:
+                    at, following, number, held, count = d, 1, 0, 0, 0
+                n = n or 0
+                if count and (held + n > chars or count >= most):
+                    held = count = 0
+                if pieces:
+                    out.append(following)
+                    following += pieces
+                    continue
+                if not count:
+                    number, following = following, following + 1
+                out.append(number)
+                held, count = held + n, count + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.int32())], [*columns, "batch_no"])
+
+    return rows.repartition(doc).sortWithinPartitions(doc, order).mapInArrow(run, schema)
 
 
 def chunks(text: Column, chars: int = BATCH_CHARS) -> Column:

@@ -322,3 +322,15 @@ def audit(documents: DataFrame, language: str) -> DataFrame:
     }
     warnings = F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in checks.items())), lambda x: x.isNotNull())
     return documents.select("doc_id", F.explode(warnings).alias("warning"))
+
+
+def agreement(texts: DataFrame, checker=None) -> DataFrame:
+    """texts: seg_id, text. Findings of a checker of grammatical agreement, checker(text) -> [(span, fix)], of a dictionary that
+    the caller has; without one there are none."""
+    if checker is None:
+        return texts.select("seg_id", F.lit("").alias("span"), F.lit("").alias("fix")).limit(0)
+
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([[{"span": a, "fix": b} for a, b in checker(x or "")] for x in column.to_pylist()], pa.list_(pa.struct([("span", pa.string()), ("fix", pa.string())])))
+
+    return texts.select("seg_id", F.explode(F.arrow_udf(run, "array<struct<span:string,fix:string>>")("text")).alias("x")).select("seg_id", "x.*")

@@ -11,6 +11,7 @@ from ..operators import typography as T
 from ..sources import adapters as A
 from ..sources import epub, journal, localize, repair, scratch, workspace
 from ..sources.adapters import table, with_
+from ..streaming import events as S
 from .registry import query
 
 
@@ -222,3 +223,46 @@ def positional_drafts(spark, sf_dir):
     """Originals and drafts of a document by their place in it, as far as there are both."""
     segments = A.segments(spark, sf_dir)
     return A.by_position(segments.select("doc_id", "seg_pos", "seg_id", F.col("text").alias("original")), segments.where("seg_pos % 2 = 0").select("doc_id", "seg_pos", F.concat(F.lit("t: "), "text").alias("draft"))).select("seg_id", "original", "draft")
+
+
+@query("SELECT o_orderkey AS seg_id, 's' || o_orderkey AS original, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 't' || o_orderkey END AS initial_translation, CASE WHEN o_orderstatus = 'F' THEN 'e' || o_orderkey ELSE '' END AS edited_translation FROM orders")
+def audit_inputs(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").withColumn("seg_id", F.col("o_orderkey"))
+    of = lambda p, where: orders.where(where).select("seg_id", F.concat(F.lit(p), "o_orderkey").alias("text"))
+    return A.audit_inputs(of("s", "true"), of("t", "o_orderkey % 3 <> 0"), of("e", "o_orderstatus = 'F'"))
+
+
+@query(with_("journal") + "SELECT o_orderkey AS seg_id, 's' || o_orderkey AS original, d.draft FROM orders LEFT JOIN (SELECT batch_id, arg_max('t' || payload, append_seq) AS draft FROM journal WHERE stage = 'translation' GROUP BY 1) d ON batch_id = o_orderkey")
+def latest_drafts(spark, sf_dir):
+    prepared = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seg_id"), F.concat(F.lit("s"), "o_orderkey").alias("original"))
+    drafts = A.journal(spark, sf_dir).where("stage = 'translation'").select(F.col("batch_id").alias("seg_id"), "append_seq", F.concat(F.lit("t"), "payload").alias("text"))
+    return A.latest_drafts(prepared, drafts)
+
+
+@query("SELECT 'n' || n_nationkey AS id, n_name AS name, 'place' AS category FROM nation WHERE n_regionkey <> 3 UNION ALL SELECT 'r' || r_regionkey, 'late ' || r_name, 'person' FROM region WHERE r_regionkey <> 3")
+def canon_entries(spark, sf_dir):
+    """A JSON document a region, nested, with an id that comes twice and kinds that are none; one doesn't parse."""
+    entry = lambda i, kind, name: F.struct(i.alias("id"), F.lit(kind).alias("type"), name.alias("name"))
+    nations = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.collect_list(entry(F.concat(F.lit("n"), "n_nationkey"), "location", F.col("n_name"))).alias("nations"))
+    own = F.concat(F.lit("r"), "r_regionkey")
+    rows = table(spark, sf_dir, "region").join(nations, "r_regionkey")
+    body = F.to_json(F.struct(entry(own, "person", F.col("r_name")).alias("first"), F.struct(F.array(entry(own, "character", F.concat(F.lit("late "), "r_name"))).alias("more"), F.col("nations"), entry(F.lit("x"), "mood", F.lit("y")).alias("none")).alias("deep")))
+    path = scratch.folder(spark, "canon")
+    rows.select("r_regionkey", F.when(F.col("r_regionkey") == 3, F.lit("{")).otherwise(body).alias("value")).repartition("r_regionkey").write.partitionBy("r_regionkey").text(path)
+    return workspace.read_canon(spark, f"{path}/*/part-*")
+
+
+@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, CASE event_type WHEN 'click' THEN 'translation' WHEN 'view' THEN 'editing' WHEN 'purchase' THEN 'audit' WHEN 'signup' THEN 'repair' ELSE 'consistency' END AS stage, sum(coalesce(CASE WHEN value >= 0 THEN floor(value * 10)::BIGINT + floor(value)::BIGINT END, 0))::BIGINT AS total_tokens FROM events GROUP BY 1, 2")
+def usage_windows(spark, sf_dir):
+    """The windowed stream's plan over the whole journal at once."""
+    return S.windowed_usage(A.usage(spark, sf_dir)).select("start", "stage", "total_tokens")
+
+
+@query("SELECT row_number() OVER (ORDER BY ts, 'job-' || user_id, event_type)::BIGINT AS id, 'job-' || user_id AS job_id, event_type AS type FROM events")
+def numbered_events(spark, sf_dir):
+    """Events as a stream into the numbered sink, read back."""
+    path = scratch.folder(spark, "events")
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("job-"), "user_id").alias("job_id"), F.col("event_type").alias("type"), F.col("ts").alias("timestamp"), F.lit("").alias("message"), F.lit("").alias("data"))
+    journal.append(events, f"{path}/log")
+    S.numbered_sink(S.replay(spark, f"{path}/log", after=-1).drop("id"), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema("id bigint, job_id string, type string").json(f"{path}/out").select("id", "job_id", "type")

@@ -47,6 +47,19 @@ def aligned(sources: DataFrame, targets: DataFrame) -> DataFrame:
     return sources.join(targets, "seg_id", "left").withColumn("target", F.coalesce("target", F.lit("")))
 
 
+def audit_inputs(originals: DataFrame, drafts: DataFrame, edited: DataFrame) -> DataFrame:
+    """originals(seg_id, text) with their draft and edited translation by id; '' where there is none."""
+    text = lambda df, name: df.select("seg_id", F.col("text").alias(name))
+    rows = text(originals, "original").join(text(drafts, "initial_translation"), "seg_id", "left").join(text(edited, "edited_translation"), "seg_id", "left")
+    return rows.na.fill("", ["initial_translation", "edited_translation"])
+
+
+def latest_drafts(prepared: DataFrame, journal: DataFrame) -> DataFrame:
+    """prepared(doc_id, pos, seg_id, original) with the draft that the journal(seg_id, append_seq, text) has last for each."""
+    last = journal.groupBy("seg_id").agg(F.max_by("text", "append_seq").alias("draft"))
+    return prepared.join(last, "seg_id", "left")
+
+
 def by_position(originals: DataFrame, drafts: DataFrame, doc: str = "doc_id", order: str = "seg_pos") -> DataFrame:
     """originals and drafts of a document joined by their rank in it, whatever their ids."""
     rank = F.row_number().over(Window.partitionBy(doc).orderBy(order))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,3 +90,18 @@ def duplicate_scenes(chapters: DataFrame) -> DataFrame:
     """slug, scene: scene ids that stand twice in a chapter."""
     found = chapters.select("slug", F.explode(F.regexp_extract_all("text", F.lit(SCENE), 1)).alias("scene"))
     return found.groupBy("slug", "scene").agg(F.count("*").alias("n")).where("n > 1").select("slug", "scene")
+
+
+def read_canon(spark: SparkSession, path: str) -> DataFrame:
+    """id, name, category of the canon entries in JSON files under path; a file that doesn't parse has none."""
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for text in texts.to_pylist():
+            try:
+                out.append([dict(zip(("id", "name", "category"), x)) for x in canon_names(json.loads(text))])
+            except ValueError:
+                out.append([])
+        return pa.array(out, pa.list_(pa.struct([(c, pa.string()) for c in ("id", "name", "category")])))
+
+    found = F.arrow_udf(run, "array<struct<id:string,name:string,category:string>>")
+    return spark.read.text(path, wholetext=True).select(F.explode(found("value")).alias("x")).select("x.*")

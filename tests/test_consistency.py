@@ -221,3 +221,20 @@ def test_corpus(spark, tmp_path):
         (tmp_path / "bad.json").write_text(json.dumps(good | change))
         with pytest.raises(Exception):
             workspace.read_corpus(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_agreement_is_pluggable(spark):
+    rows = spark.createDataFrame([("a", "белый дом"), ("b", "белый стена")], "seg_id string, text string")
+    assert T.agreement(rows).count() == 0
+    got = T.agreement(rows, lambda t: [("белый стена", "белая стена")] if "стена" in t else []).collect()
+    assert [(r.seg_id, r.fix) for r in got] == [("b", "белая стена")]
+
+
+def test_long_tables_of_terms_are_shuffled_with_the_same_result(spark, monkeypatch):
+    segments = spark.createDataFrame([("s1", "the Hatter ran"), ("s2", "a hatter’s tea party"), ("s3", "none")], "seg_id string, text string")
+    terms = spark.createDataFrame([("hatter",), ("tea party",), ("Dormouse",)], "term string")
+    want = sorted((r.seg_id, r.term) for r in C.term_hits(segments, terms).collect())
+    monkeypatch.setattr(C, "TERMS", 1)
+    monkeypatch.setattr(E, "TERMS", 1)
+    assert sorted((r.seg_id, r.term) for r in C.term_hits(segments, terms).collect()) == want == [("s1", "hatter"), ("s2", "hatter"), ("s2", "tea party")]
+    assert E.glossary_mentions(segments, terms.withColumnRenamed("term", "source")).count() == 3

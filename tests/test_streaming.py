@@ -36,3 +36,22 @@ def test_usage_stream_equals_batch(spark, tmp_path):
     assert got == want and got
     run(S.windowed_usage(stream).writeStream.format("memory").queryName("windows").outputMode("append").start())
     assert spark.table("windows").count() <= usage.select(F.window("recorded_at", "1 hour"), "stage").distinct().count()
+
+
+def test_a_batch_written_again_gets_the_same_numbers(spark, tmp_path):
+    def add(name, times):
+        (tmp_path / "log").mkdir(exist_ok=True)
+        (tmp_path / "log" / name).write_text("\n".join(json.dumps({"id": 0, "job_id": "j", "type": "t", "timestamp": f"2026-01-01T00:00:{t:02d}Z", "message": "", "data": ""}) for t in times))
+
+    def sink():
+        S.numbered_sink(S.replay(spark, str(tmp_path / "log"), after=-1).drop("id"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
+        return {(r.id, r.timestamp) for r in spark.read.json(str(tmp_path / "out")).collect()}
+
+    add("1.json", [3, 1, 2])
+    first = sink()
+    add("2.json", [9, 4])
+    both = sink()
+    assert sorted(i for i, _ in both) == [1, 2, 3, 4, 5] and first < both
+    (tmp_path / "cp" / "commits" / "1").unlink()  # as if the driver had been lost before it committed the second batch
+    (tmp_path / "cp" / "commits" / ".1.crc").unlink(missing_ok=True)
+    assert sink() == both
