@@ -10,17 +10,17 @@ from collections.abc import Callable
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import bounded, clipped, col, collapsed, count_of, escaped, mentions, occurrences
+from ..functions.text import clipped, collapsed, escaped, occurrences
 from ..sources.scratch import kept
 from . import entities as E
 from . import typography as T
 
-#: Terms up to which their table is broadcast; counted, not guessed. Beyond, words and terms are shuffled by word.
-TERMS = 20_000
+#: Names, and replacements, up to which their table is broadcast; counted, not guessed.
+TERMS = E.TERMS
 #: A rendering is a competing one if it has a 50th of the canonical's uses.
 SHARE = 50
 #: Patterns of names that need no second mention. Fixed values.
@@ -35,12 +35,7 @@ LOWERCASE = r"(?<![\p{L}\p{N}])(\p{Ll}[\p{L}\p{M}'’-]{2,})"
 
 def term_hits(segments: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """Rows of segments with each of terms(term, ...) that they hold as a whole word, in any case."""
-    word = r"[\p{L}\p{N}]+"
-    keyed = terms.withColumn("_k", F.lower(F.regexp_extract("term", f"({word})", 1)))
-    if keyed.limit(TERMS + 1).count() <= TERMS:
-        keyed = F.broadcast(keyed)
-    words = F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(F.lower(text), F.lit(f"({word})"), 1)))
-    return segments.withColumn("_w", F.explode(words)).join(keyed, F.col("_w") == F.col("_k")).drop("_w", "_k").where(mentions(text, "term"))
+    return E.glossary_mentions(segments, terms.withColumnRenamed("term", "source"), text)
 
 
 def relevant_glossary(segments: DataFrame, glossary: DataFrame, batch: str = "doc_id") -> DataFrame:

@@ -135,17 +135,17 @@ def phrases(segments: DataFrame, stop: tuple[str, ...] = STOP_WORDS, connectors:
 
 
 def glossary_mentions(segments: DataFrame, glossary: DataFrame, text: str = "text") -> DataFrame:
-    """Segments that hold an entry's source as whole words, in any case.
+    """Segments with each entry (term, ...) of glossary(source, ...) that they hold as a whole word, in any case.
 
     Words of a text meet the entries by their first word, then the whole term is verified on the same row; so the cost
     follows the mentions, not entries times segments. A glossary of up to TERMS entries, counted, is broadcast and
-    no text moves; a longer one meets the words by shuffle.
+    no text moves; a longer one meets the words by shuffle. Terms without a letter or digit are tried on every text.
     """
-    first = lambda c: F.lower(F.regexp_extract(c, f"({_WORD})", 1))
-    terms = glossary.select(F.col("source").alias("term"), *(c for c in glossary.columns if c != "source")).withColumn("_k", first(F.col("term")))
+    word = r"([\p{L}\p{N}]+)"
+    terms = glossary.withColumnRenamed("source", "term").withColumn("_k", F.lower(F.regexp_extract("term", word, 1)))
     if terms.limit(TERMS + 1).count() <= TERMS:
         terms = F.broadcast(terms)
-    tokens = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"({_WORD})"), 1), lambda w: F.lower(w)))
+    tokens = F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(F.lower(text), F.lit(word), 1)))
     hits = segments.withColumn("_w", F.explode(tokens)).join(terms, F.col("_w") == F.col("_k")).drop("_w", "_k")
     return hits.where(mentions(text, "term"))
 
