@@ -386,3 +386,39 @@ def test_pairs_of_words_are_smoothed_by_the_spelling_model():
     # a class's probabilities after a word sum to one: what pairs lack goes to the backoff
     left = {c: 1 - (max(pairs["cold", "fish"][c] - toxicity.DISCOUNT, 0)) / (21, 20)[c] for c in (0, 1)}
     assert abs(model.backoff["cold"] - math.log(left[0] / left[1])) < 1e-12
+
+
+def test_lookup_equals_a_join(spark, monkeypatch):
+    from quillspark.llm import common
+
+    rng = random.Random(1)
+    rows = [(i, "hot" if i % 2 else f"k{rng.randint(0, 300)}") for i in range(4000)]
+    count = Counter(k for _, k in rows)
+    table = [(k, n, len(k)) for k, n in count.items() if not k.endswith("7")]
+    for hot in (3, 20_000):  # one key is broadcast, or all are
+        monkeypatch.setattr(common, "HOT", hot)
+        got = common.lookup(spark.createDataFrame(rows, "i long, k string"), spark.createDataFrame(table, "k string, n long, x int"), "k", "n", ("i",)).collect()
+        want = {k: (n, x) for k, n, x in table}
+        assert sorted((r.i, r.k, r.n, r.x) for r in got) == sorted((i, k, *want.get(k, (None, None))) for i, k in rows if k in want) + [] or sorted((r.i, r.k) for r in got) == sorted(rows)
+        assert all((r.n, r.x) == want.get(r.k, (None, None)) for r in got) and len(got) == len(rows)
+
+
+def test_trees_give_the_maximal_repeats():
+    rng = random.Random(4)
+    for _ in range(30):
+        texts = list(dict.fromkeys(" ".join(rng.choices("ab", k=rng.randint(3, 9))).encode() for _ in range(5)))
+        tree = substrings.SuffixTree(texts, 3)
+        words = [t.split(b" ") for t in texts]
+        places = defaultdict(list)
+        for t, w in enumerate(words):
+            for i in range(len(w)):
+                for j in range(i + 3, len(w) + 1):
+                    places[tuple(w[i:j])].append((t, i))
+        want = {}
+        for s, at in places.items():
+            before = {words[t][i - 1] if i else None for t, i in at}
+            after = [words[t][i + len(s)] if i + len(s) < len(words[t]) else (t, i) for t, i in at]  # ends differ from all else
+            if len(at) > 1 and (len(before) > 1 or None in before) and len(set(after)) > 1:
+                want[s] = sorted(at)
+        got = {tuple(words[at[0][0]][at[0][1] : at[0][1] + depth]): sorted(at) for depth, at in tree.maximal_repeats()}
+        assert got == want
