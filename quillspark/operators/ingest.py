@@ -176,6 +176,16 @@ def epubcheck_counts(lines: DataFrame) -> DataFrame:
     return out
 
 
+def epubcheck_messages(lines: DataFrame, most: int = 250) -> DataFrame:
+    """lines: job_id, ord, line. The first `most` messages of each job: level, code, message, and how many more there are."""
+    pattern = r"(?i)^(FATAL|ERROR|WARNING|INFO)(?:\(([^)]+)\))?:\s*(.+)$"
+    part = lambda i: F.regexp_extract(F.trim("line"), pattern, i)
+    rows = lines.where(F.trim("line").rlike(pattern)).select("job_id", "ord", F.lower(part(1)).alias("level"), F.nullif(part(2), F.lit("")).alias("code"), part(3).alias("message"))
+    total = rows.groupBy("job_id").agg(F.greatest(F.count("*") - most, F.lit(0)).alias("omitted"))
+    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("job_id").orderBy("ord"))).where(F.col("_r") <= most).drop("_r")
+    return first.join(total, "job_id")
+
+
 def scenes(lines: DataFrame) -> DataFrame:
     """lines: doc_id, pos, text. Paragraphs of a Markdown manuscript as XHTML with the scene they stand in; s0 before the
     first marker <!-- scene: id -->. Blank lines part paragraphs, line ends within one stay."""

@@ -118,3 +118,18 @@ def frontier(active: DataFrame) -> DataFrame:
 
 def shares(df: DataFrame, value: str, over: str) -> DataFrame:
     return df.withColumn("share", F.round(F.col(value) / F.sum(value).over(Window.partitionBy(over)), 6))
+
+
+def delegation_fault(workspace: Column, now: Column, longest: str = "7 days") -> Column:
+    """Why a delegation (workspace, granted_by, granted_at, expires_at, allow, revoked_at; dates as text) doesn't hold now; null if it does."""
+    date = lambda c: F.try_to_timestamp(F.col(c))
+    granted, expires, revoked = date("granted_at"), date("expires_at"), date("revoked_at")
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    return (
+        F.when(blank("workspace") | blank("granted_by") | F.col("allow").isNull() | granted.isNull() | expires.isNull(), "incomplete")
+        .when(F.col("workspace") != workspace, "another workspace")
+        .when(expires > granted + F.expr(f"interval {longest}"), "too long")
+        .when(now < granted, "not valid yet")
+        .when(now >= expires, "expired")
+        .when(revoked <= now, "revoked")
+    )

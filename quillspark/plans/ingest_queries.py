@@ -136,6 +136,14 @@ def epubcheck_counts(spark, sf_dir):
     return I.epubcheck_counts(table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), line.alias("line")))
 
 
+@query("""WITH m AS (SELECT user_id % 2 AS job_id, event_id AS ord, CASE event_type WHEN 'click' THEN 'fatal' WHEN 'error' THEN 'error' ELSE 'warning' END AS level, CASE WHEN event_type = 'click' THEN 'RSC-005' END AS code, 'm' || event_id AS message FROM events WHERE event_type IN ('click', 'error', 'view'))
+SELECT job_id, ord, level, code, message, greatest(n - 250, 0)::BIGINT AS omitted FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ord) AS r, count(*) OVER (PARTITION BY job_id) AS n FROM m) WHERE r <= 250""")
+def epubcheck_messages(spark, sf_dir):
+    head = F.when(F.col("event_type") == "click", "FATAL(RSC-005):  m").when(F.col("event_type") == "error", " ERROR: m").when(F.col("event_type") == "view", "Warning: m").otherwise("other ")
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 2).alias("job_id"), F.col("event_id").alias("ord"), F.concat(head, F.col("event_id")).alias("line"))
+    return I.epubcheck_messages(rows)
+
+
 @query("SELECT n_name, CASE n_nationkey % 3 WHEN 0 THEN 'Georgia, serif' WHEN 1 THEN 'serif' ELSE 'Arial' END AS fonts FROM nation")
 def latin_fonts(spark, sf_dir):
     stack = F.when(F.col("n_nationkey") % 3 == 0, "'MS Mincho', Georgia, Hiragino Kaku, serif").when(F.col("n_nationkey") % 3 == 1, "Yu Gothic, Meiryo").otherwise("Arial")

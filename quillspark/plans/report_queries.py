@@ -190,3 +190,14 @@ def event_replay(spark, sf_dir):
 @query("SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS DISTINCT FROM event_type")
 def progress_events(spark, sf_dir):
     return J.changes(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "user_id", "event_id", "event_type")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'incomplete' WHEN o_orderkey % 7 = 1 THEN 'another workspace' WHEN o_orderkey % 7 = 2 THEN 'too long' WHEN o_orderkey % 7 = 3 THEN 'not valid yet' WHEN o_orderkey % 7 = 4 THEN 'expired' WHEN o_orderkey % 7 = 5 AND o_orderkey % 2 = 0 THEN 'revoked' END AS fault FROM orders""")
+def delegation_faults(spark, sf_dir):
+    k = F.col("o_orderkey") % 7
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.when(k == 1, "w2").otherwise("w1").alias("workspace"), F.lit("g").alias("granted_by"), F.array(F.lit("x")).alias("allow"),
+        F.when(k == 0, "soon").when(k == 3, "2026-03-09T00:00:00Z").otherwise("2026-03-02T00:00:00Z").alias("granted_at"), F.when(k == 2, "2026-03-10T00:00:00Z").when(k == 3, "2026-03-11T00:00:00Z").when(k == 4, "2026-03-04T00:00:00Z").otherwise("2026-03-09T00:00:00Z").alias("expires_at"),
+        F.when(k == 5, F.when(F.col("o_orderkey") % 2 == 0, "2026-03-03T00:00:00Z").otherwise("2026-03-08T00:00:00Z")).alias("revoked_at"),
+    )
+    return rows.select("id", R.delegation_fault(F.lit("w1"), F.lit("2026-03-05T00:00:00Z").cast("timestamp")).alias("fault"))
