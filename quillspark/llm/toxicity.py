@@ -26,13 +26,15 @@ from .common import arrow, keep, prepare, read_table
 MODEL_DOCS, CURVE_DOCS = 2000, 1000
 #: Characters of the longest gram; grams up to SHARED characters have one set of counts.
 ORDER, SHARED = 6, 2
+#: Order below which probabilities are remembered for all longer grams that end alike.
+SHORT = 4
 #: Characters of a word that are scored, and remembered, as one.
 PIECE = 40
 DISCOUNT = 0.75
 #: Documents that a pair of words must stand in to be one of the highest order; the mass of others goes to the backoff.
 PAIR_DOCS = 2
-#: Words whose evidence a worker remembers.
-REMEMBERED = 400_000
+#: Tokens whose words a worker remembers, some 200 MB.
+REMEMBERED = 600_000
 STRONGEST = 3
 _EDGES = ".,;:!?*#$%&|<>\"'()[]{}«»„“”‘’…-–—"
 
@@ -81,6 +83,7 @@ class KneserNey:
             for c in (0, 1):
                 self.levels[c][n] = self._contexts(grams[c])
         self.memory: dict[str, tuple[float, float]] = {}
+        self.short: tuple[dict[str, float], dict[str, float]] = ({}, {})
 
     @staticmethod
     def _contexts(grams: dict[str, int]) -> tuple[dict, dict]:
@@ -92,15 +95,22 @@ class KneserNey:
         return dict(grams), {h: tuple(t) for h, t in total.items()}
 
     def p(self, c: int, gram: str, n: int) -> float:
+        """Probability of the last character of a gram after those before it, in the model of order n of class c."""
         if n == 0:
             return 1 / 256
+        if n == SHORT and (x := self.short[c].get(gram)) is not None:
+            return x
         counts, contexts = self.levels[c][n]
         known = contexts.get(gram[:-1])
-        lower = self.p(c, gram[1:] if len(gram) >= n and len(gram) > 1 else gram, n - 1)
-        if known is None:
-            return lower
-        total, types = known
-        return max(counts.get(gram, 0) - DISCOUNT, 0) / total + DISCOUNT * types / total * lower
+        x = self.p(c, gram[1:] if len(gram) >= n and len(gram) > 1 else gram, n - 1)
+        if known is not None:
+            total, types = known
+            x = max(counts.get(gram, 0) - DISCOUNT, 0) / total + DISCOUNT * types / total * x
+        if n == SHORT:
+            if len(self.short[c]) > 500_000:
+                self.short[c].clear()
+            self.short[c][gram] = x
+        return x
 
     def logs(self, word: str) -> tuple[float, float]:
         """Toxic and ordinary log-likelihood of a word, all characters and its end together."""
@@ -142,9 +152,53 @@ class Pairs:
             self.after.setdefault(a, {})[b] = math.log(p[0] / p[1])
 
 
+class _Tokens(dict):
+    """Ids of the words that tokens between blanks are: NONE for one without letters, SEVERAL for a long one in pieces."""
+
+    NONE, SEVERAL = -1, -2
+
+    def __init__(self, add) -> None:
+        super().__init__()
+        self.add = add
+
+    def __missing__(self, token: str) -> int:
+        words = words_of(token)
+        found = self[token] = self.add(words[0]) if len(words) == 1 else self.SEVERAL if words else self.NONE
+        return found
+
+
 class Scorer:
+    """Features of texts. Words have ids, what is known of a word stands in arrays under its id."""
+
     def __init__(self, words: dict[str, tuple[int, int]], pairs: Pairs | None = None) -> None:
-        self.model, self.known, self.pairs = KneserNey(words), {}, pairs
+        self.model, after = KneserNey(words), pairs.after if pairs else {}
+        seconds = sorted({b for follow in after.values() for b in follow})
+        self.first, self.second = {w: i for i, w in enumerate(sorted(after))}, {w: i + 1 for i, w in enumerate(seconds)}
+        self.stride = len(seconds) + 1
+        known = sorted((self.first[a] * self.stride + self.second[b], x) for a, follow in after.items() for b, x in follow.items())
+        self.codes, self.values = np.array([c for c, _ in known], np.int64), np.array([x for _, x in known])
+        self.backoff = np.array([pairs.backoff[w] for w in self.first]) if pairs else np.empty(0)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.tokens = _Tokens(self._add)
+        #: By id: evidence, characters and the end, place as a first and as a second word of pairs.
+        self.evidence_of, self.length_of, self.first_of, self.second_of = np.empty(0), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _add(self, word: str) -> int:
+        if (known := self.ids.get(word)) is not None:
+            return known
+        i = self.ids[word] = len(self.ids)
+        if i >= len(self.evidence_of):
+            for name in ("evidence_of", "length_of", "first_of", "second_of"):
+                old = getattr(self, name)
+                new = np.zeros(max(1024, 2 * len(old)), old.dtype)
+                new[: len(old)] = old
+                setattr(self, name, new)
+        self.evidence_of[i], self.length_of[i] = self.evidence(word), len(word) + 1
+        self.first_of[i], self.second_of[i] = self.first.get(word, -1), self.second.get(word, 0)
+        return i
 
     def evidence(self, word: str) -> float:
         t, o = self.model.logs(word)
@@ -153,27 +207,30 @@ class Scorer:
     def features(self, text: str) -> list[float]:
         """Strongest words by character, mean by word over all the text, of what speaks for toxic alone, logarithm of
         the number of words, and strongest pair by character."""
-        words = words_of(text)
-        if not words:
+        if len(self.tokens) > REMEMBERED:
+            self._forget()
+        tokens = text.lower().split()
+        ids = np.fromiter(map(self.tokens.__getitem__, tokens), np.int64, len(tokens))
+        if (ids == _Tokens.SEVERAL).any():
+            ids = np.array([self._add(w) for t in tokens for w in words_of(t)], np.int64)
+        ids = ids[ids >= 0]
+        if not len(ids):
             return [0.0] * FEATURES
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = self.evidence(w)
-        found = sorted((known[w] / (len(w) + 1) for w in {*words}), reverse=True)[:STRONGEST]
-        every, length, strongest = [known[w] for w in words], len(words), 0.0
-        if self.pairs is not None:
-            after, backoff = self.pairs.after.get, self.pairs.backoff
-            for i, a in enumerate(words[:-1], 1):
-                if (follow := after(a)) is not None:
-                    b = words[i]
-                    if (x := follow.get(b)) is None:
-                        every[i] += backoff[a]
-                    else:
-                        every[i] = x
-                        strongest = max(strongest, x / (len(b) + 1))
-        return [*found, *[min(found[-1], 0.0)] * (STRONGEST - len(found)), sum(every) / length, sum(x for x in every if x > 0) / length, math.log(length), strongest]
+        every, n, strongest = self.evidence_of[ids], len(ids), 0.0
+        distinct = np.unique(ids)
+        found = np.sort(self.evidence_of[distinct] / self.length_of[distinct])[: -STRONGEST - 1 : -1].tolist()
+        if len(self.codes) and n > 1:
+            firsts = self.first_of[ids[:-1]]
+            at = np.flatnonzero(firsts >= 0)
+            if len(at):
+                firsts, then = firsts[at], ids[at + 1]
+                code = firsts * self.stride + self.second_of[then]
+                place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+                hit = self.codes[place] == code
+                every[at + 1] = np.where(hit, self.values[place], every[at + 1] + self.backoff[firsts])
+                if hit.any():
+                    strongest = max(0.0, float((self.values[place[hit]] / self.length_of[then[hit]]).max()))
+        return [*found, *[min(found[-1], 0.0)] * (STRONGEST - len(found)), float(every.sum()) / n, float(every[every > 0].sum()) / n, math.log(n), strongest]
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
