@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch. Documents of 100 kB each then need 50 MB, not 1 GB.
-BATCH_ROWS = 512
+#: Rows of an Arrow batch. Documents of 100 kB each then need 25 MB, not 1 GB.
+BATCH_ROWS = 256
 #: Keys that hold more than 1 / HOT of the rows are joined by broadcast; there are fewer than HOT.
 HOT = 20_000
 
