@@ -87,7 +87,8 @@ def joined(text: Column, cut: Column) -> Column:
 def base_spans(docs: DataFrame, text: str) -> DataFrame:
     """docs with a column of spans for each of BASE; text is a plain_text column."""
     has = lambda c: F.contains(text, F.lit(c))
-    found = with_spans(docs, text, {"email": (EMAIL, has("@")), "ip": (IP, has(".")), "card": (CARD, None), "phone": (PHONE, has("+"))})
+    digit = F.col("_digit")  # most texts hold none: one look spares the patterns that need some
+    found = with_spans(docs.withColumn("_digit", F.col(text).rlike("[0-9]")), text, {"email": (EMAIL, has("@")), "ip": (IP, digit), "card": (CARD, digit), "phone": (PHONE, has("+"))}).drop("_digit")
     n = lambda x: F.length(digits(x["m"]))
     return found.withColumns({
         "ip": F.filter("ip", lambda x: x["m"].rlike(rf"^{_PART}(?:\.{_PART}){{3}}$")),
@@ -122,7 +123,8 @@ def proposals(docs: DataFrame, text: str) -> DataFrame:
     hidden = hidden.withColumn("_cut", F.when(F.size("_sure") > 0, replaced(F.col(text), F.col("_sure"), lambda n: F.repeat(F.lit("\x03"), n), same_length=True)))
     hidden = hidden.withColumn("_rest", F.coalesce(joined(F.col(text), F.col("_cut")), F.col(text)))
     generators = {f"_{k}{j}": (k, p) for k in ADDED for j, p in enumerate(GENERATORS[k])}
-    found = with_spans(hidden, "_rest", {n: (p, F.contains(F.lower("_rest"), F.lit("at")) if k == "worded" else None) for n, (k, p) in generators.items()})
+    hidden = hidden.withColumn("_digit", F.col("_rest").rlike("[0-9]"))
+    found = with_spans(hidden, "_rest", {n: (p, F.col("_rest").rlike(r"(?i)[\[({]\x20?at") if k == "worded" else F.col("_digit")) for n, (k, p) in generators.items()})
 
     def proposed(i: int):  # a lambda with a second parameter would get the element's index in it
         begin = lambda x: F.greatest(x["s"] - CONTEXT, F.lit(0))
@@ -130,7 +132,7 @@ def proposals(docs: DataFrame, text: str) -> DataFrame:
 
     parts = [F.transform(F.array_distinct(F.concat(*(F.col(n) for n, (of, _) in generators.items() if of == k))), proposed(i)) for i, k in enumerate(ADDED)]
     scored = F.transform(F.concat(*parts), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), features(x).alias("f")))
-    return found.withColumn("proposed", scored).drop(*generators, "_sure", "_cut", "_rest")
+    return found.withColumn("proposed", scored).drop(*generators, "_sure", "_cut", "_rest", "_digit")
 
 
 def account_number(rng: random.Random, country: str, grouped: bool) -> str:
