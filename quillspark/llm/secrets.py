@@ -225,7 +225,12 @@ def scan(docs: DataFrame) -> DataFrame:
     a token is reported depends on all candidates of the table, not on its row alone. Other columns aren't read.
     """
     text = docs.select("doc_id", plain_text(F.col("text")).alias("t"))
-    found = with_spans(text, "t", {"assign": (ASSIGN, None), "access": (ACCESS, F.contains("t", F.lit("AKIA"))), "hex": (HEX, None), "token": (TOKEN, None)})
+    # most texts hold none of the words of assignments and no run as long as a token: one look each spares the patterns
+    named = F.lit(False)
+    for word in ("pass", "secret", "token", "key"):
+        named = named | F.contains(F.lower("t"), F.lit(word))
+    text = text.withColumn("_named", named).withColumn("_long", F.col("t").rlike("[A-Za-z0-9+/_-]{20}"))
+    found = with_spans(text, "t", {"assign": (ASSIGN, F.col("_named")), "access": (ACCESS, F.contains("t", F.lit("AKIA"))), "hex": (HEX, F.col("_long")), "token": (TOKEN, F.col("_long"))})
     found = found.select("doc_id", F.filter("assign", lambda x: F.length(F.regexp_extract(x["m"], f"^{_KEY}(.*)$", 1)) >= 6).alias("assign"), "access", "hex", "token")
     base = F.concat("assign", "access", "hex")
     found = found.select("doc_id", "assign", "access", "hex", F.when(F.size("token") > 0, F.filter("token", lambda x: ~overlaps(x, base))).otherwise(no_spans()).alias("token"))
