@@ -33,8 +33,10 @@ PIECE = 40
 DISCOUNT = 0.75
 #: Documents that a pair of words must stand in to be one of the highest order; the mass of others goes to the backoff.
 PAIR_DOCS = 2
-#: Tokens whose words a worker remembers, some 200 MB.
-REMEMBERED = 600_000
+#: Words, and tokens between blanks, that a worker remembers: some 150 MB.
+REMEMBERED = 400_000
+#: Grams whose log-ratio a worker remembers, some 100 MB, and whose shorter forms it does.
+GRAMS, SHORTS = 500_000, 200_000
 STRONGEST = 3
 _EDGES = ".,;:!?*#$%&|<>\"'()[]{}«»„“”‘’…-–—"
 
@@ -82,7 +84,7 @@ class KneserNey:
             grams = below
             for c in (0, 1):
                 self.levels[c][n] = self._contexts(grams[c])
-        self.memory: dict[str, tuple[float, float]] = {}
+        self.ratios = _Ratios(self)
         self.short: tuple[dict[str, float], dict[str, float]] = ({}, {})
 
     @staticmethod
@@ -107,24 +109,39 @@ class KneserNey:
             total, types = known
             x = max(counts.get(gram, 0) - DISCOUNT, 0) / total + DISCOUNT * types / total * x
         if n == SHORT:
-            if len(self.short[c]) > 500_000:
+            if len(self.short[c]) > SHORTS:
                 self.short[c].clear()
             self.short[c][gram] = x
         return x
 
     def logs(self, word: str) -> tuple[float, float]:
         """Toxic and ordinary log-likelihood of a word, all characters and its end together."""
-        s, t, o, memory = f"\x02{word}\x03", 0.0, 0.0, self.memory
-        for i in range(1, len(s)):
-            gram = s[max(0, i + 1 - ORDER) : i + 1]
-            x = memory.get(gram)
-            if x is None:
-                if len(memory) > 2_000_000:
-                    memory.clear()
-                x = memory[gram] = math.log(self.p(0, gram, ORDER)), math.log(self.p(1, gram, ORDER))
-            t += x[0]
-            o += x[1]
-        return t, o
+        grams = grams_of(word)
+        return sum(math.log(self.p(0, g, ORDER)) for g in grams), sum(math.log(self.p(1, g, ORDER)) for g in grams)
+
+    def evidence(self, word: str) -> float:
+        """Their difference."""
+        if len(self.ratios) > GRAMS:
+            self.ratios.clear()
+        return sum(map(self.ratios.__getitem__, grams_of(word)))
+
+
+def grams_of(word: str) -> list[str]:
+    """The gram of each character of a word and of its end."""
+    s = f"\x02{word}\x03"
+    return [s[i - ORDER + 1 if i >= ORDER else 0 : i + 1] for i in range(1, len(s))]
+
+
+class _Ratios(dict):
+    """The log-ratio of the two classes' probabilities by gram."""
+
+    def __init__(self, model: KneserNey) -> None:
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, gram: str) -> float:
+        found = self[gram] = math.log(self.model.p(0, gram, ORDER) / self.model.p(1, gram, ORDER))
+        return found
 
 
 class Pairs:
@@ -196,19 +213,17 @@ class Scorer:
                 new = np.zeros(max(1024, 2 * len(old)), old.dtype)
                 new[: len(old)] = old
                 setattr(self, name, new)
-        self.evidence_of[i], self.length_of[i] = self.evidence(word), len(word) + 1
+        self.evidence_of[i], self.length_of[i] = self.model.evidence(word), len(word) + 1
         self.first_of[i], self.second_of[i] = self.first.get(word, -1), self.second.get(word, 0)
         return i
 
-    def evidence(self, word: str) -> float:
-        t, o = self.model.logs(word)
-        return t - o
-
     def features(self, text: str) -> list[float]:
         """Strongest words by character, mean by word over all the text, of what speaks for toxic alone, logarithm of
         the number of words, and strongest pair by character."""
-        if len(self.tokens) > REMEMBERED:
+        if len(self.ids) > REMEMBERED:
             self._forget()
+        elif len(self.tokens) > REMEMBERED:
+            self.tokens.clear()
         tokens = text.lower().split()
         ids = np.fromiter(map(self.tokens.__getitem__, tokens), np.int64, len(tokens))
         if (ids == _Tokens.SEVERAL).any():
