@@ -33,8 +33,8 @@ PIECE = 40
 DISCOUNT = 0.75
 #: Documents that a pair of words must stand in to be one of the highest order; the mass of others goes to the backoff.
 PAIR_DOCS = 2
-#: Words, and tokens between blanks, that a worker remembers: some 150 MB.
-REMEMBERED = 400_000
+#: Words, and tokens between blanks, that a worker remembers: some 120 MB.
+REMEMBERED = 300_000
 #: Grams whose log-ratio a worker remembers, some 100 MB, and whose shorter forms it does.
 GRAMS, SHORTS = 500_000, 200_000
 STRONGEST = 3
@@ -272,6 +272,7 @@ def _scorer(words) -> Scorer:
     if words.id not in _SCORERS:
         _SCORERS.clear()
         _SCORERS[words.id] = Scorer(*words.value)
+        words.broadcast.__dict__.pop("_value", None)  # the scorer has all it needs; it can be loaded again
     return _SCORERS[words.id]
 
 
