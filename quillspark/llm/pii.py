@@ -271,19 +271,31 @@ class Boosted:
         return total
 
 
-def _proposed(spark: SparkSession, made: list[tuple[int, str, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of what is proposed in made-up sentences; a proposal counts if it is of the sentence's kind."""
-    rows = spark.createDataFrame([(i, t, k) for i, t, k, _ in made], "id int, t string, k int")
-    rows = proposals(rows.withColumns({k: no_spans() for k in BASE}), "t").select("id", "k", F.explode("proposed").alias("c")).where("c.kind = k")
-    label = {i: y for i, _, _, y in made}
-    found = sorted((r.id, list(r.f)) for r in rows.select("id", "c.f").collect())  # about SAMPLES rows
-    return np.array([f for _, f in found]), np.array([label[i] for i, _ in found], float)
+def _proposed(spark: SparkSession, *made: list[tuple[int, str, int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each set of made-up sentences the features and labels of what is proposed in them; a proposal counts if it is
+    of its sentence's kind."""
+    every = [(part, i, t, k, y) for part, rows in enumerate(made) for i, t, k, y in rows]
+    rows = spark.createDataFrame([(part, i, t, k) for part, i, t, k, _ in every], "part int, id int, t string, k int")
+    rows = proposals(rows.withColumns({k: no_spans() for k in BASE}), "t").select("part", "id", "k", F.explode("proposed").alias("c")).where("c.kind = k")
+    label = {(part, i): y for part, i, _, _, y in every}
+    found = sorted((r.part, r.id, list(r.f)) for r in rows.select("part", "id", "c.f").collect())  # about SAMPLES rows a set
+    return [(np.array([f for p, _, f in found if p == part]), np.array([label[part, i] for p, i, _ in found if p == part], float)) for part in range(len(made))]
+
+
+_TRAINED: dict[float, tuple[Boosted, list[float]]] = {}
 
 
 def train(spark: SparkSession, precision: float = 0.95) -> tuple[Boosted, list[float]]:
-    """The trees, and for each added kind the least score at which the precision on other_samples() is as asked for."""
-    model = Boosted(*_proposed(spark, samples()))
-    x, y = _proposed(spark, other_samples())
+    """The trees, and for each added kind the least score at which the precision on other_samples() is as asked for. The
+    sentences are always the same, so a driver trains once."""
+    if precision not in _TRAINED:
+        _TRAINED[precision] = _trained(spark, precision)
+    return _TRAINED[precision]
+
+
+def _trained(spark: SparkSession, precision: float) -> tuple[Boosted, list[float]]:
+    trained, (x, y) = _proposed(spark, samples(), other_samples())
+    model = Boosted(*trained)
     score, limits = model.score(x), []
     for kind in range(len(ADDED)):
         mine = x[:, 0] == kind
