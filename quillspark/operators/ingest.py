@@ -22,13 +22,13 @@ PRESENTATIONAL = ("b", "cite", "del", "dfn", "em", "i", "ins", "mark", "s", "sam
 _SENTENCE = r"(?<=[.!?])\s+|(?<=[。！？])(?![」』）】\s])"
 
 
-def with_batches(segments: DataFrame, doc: str = "doc_id", order: str = "seg_pos", chars: int = BATCH_CHARS, most: int = BATCH_SEGMENTS) -> DataFrame:
+def with_batches(segments: DataFrame, doc: str = "doc_id", order: str = "seg_pos", chars: int = BATCH_CHARS, most: int = BATCH_SEGMENTS, cut: bool = True) -> DataFrame:
     """Segments with batch_no, counted from 1 in each document: a batch is closed before a segment that would
     bring it above `chars` or `most`. A segment above `chars` is cut into chunks of whole sentences, a
-    batch each; the batch before it stays open. Segments stream by in order with a few numbers of state, so a document
+    batch each, of which it has the first one's number; without `cut` it is a batch of its own as it is. Segments stream by in order with a few numbers of state, so a document
     may have any length; that state is bound to their order, so an Arrow function."""
     columns = [c for c in segments.columns if c != "batch_no"]
-    big = F.length("text") > chars
+    big = F.length("text") > chars if cut else F.lit(False)
     rows = segments.select(*columns, F.length("text").alias("_n"), F.when(big, F.size(chunks(F.col("text"), chars))).otherwise(0).alias("_pieces"))
     schema = T.StructType([*segments.select(*columns).schema.fields, T.StructField("batch_no", T.IntegerType())])
     key = columns.index(doc)
