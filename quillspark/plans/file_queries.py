@@ -264,5 +264,5 @@ def numbered_events(spark, sf_dir):
     path = scratch.folder(spark, "events")
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("job-"), "user_id").alias("job_id"), F.col("event_type").alias("type"), F.col("ts").alias("timestamp"), F.lit("").alias("message"), F.lit("").alias("data"))
     journal.append(events, f"{path}/log")
-    S.numbered_sink(S.replay(spark, f"{path}/log", after=-1).drop("id"), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    S.numbered_sink(S.replay(spark, f"{path}/log", after=None, schema=events.schema).drop("id"), f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return spark.read.schema("id bigint, job_id string, type string").json(f"{path}/out").select("id", "job_id", "type")

@@ -45,8 +45,9 @@ def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def append(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Appends records as lines. Spark commits whole files, so no torn tail is ever read."""
-    rows.write.mode(mode).json(path)
+    """Appends records as lines, times to the microsecond. Spark commits whole files, so no torn tail is ever read."""
+    time = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"  # by default Spark cuts them to milliseconds
+    rows.write.mode(mode).options(timestampFormat=f"{time}XXXXX", timestampNTZFormat=time).json(path)
 
 
 def without_batch(journal: DataFrame, batch_id: str) -> DataFrame:

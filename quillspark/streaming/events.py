@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.window import Window
 
@@ -16,9 +17,11 @@ from ..sources.journal import append
 EVENT = "id bigint, job_id string, type string, timestamp timestamp, message string, data string"
 
 
-def replay(spark: SparkSession, path: str, after: int = 0, job: str | None = None, schema: str = EVENT) -> DataFrame:
-    """The event log as a stream: what was there after an id, then what is added; of one job or of all."""
-    rows = spark.readStream.schema(schema).json(path).where(F.col("id") > after)
+def replay(spark: SparkSession, path: str, after: int | None = 0, job: str | None = None, schema: str | T.StructType = EVENT) -> DataFrame:
+    """The event log as a stream: what was there after an id, then what is added; of one job or of all. After None,
+    all of it, whatever the ids."""
+    rows = spark.readStream.schema(schema).json(path)
+    rows = rows if after is None else rows.where(F.col("id") > after)
     return rows if job is None else rows.where(F.col("job_id") == job)
 
 
@@ -50,15 +53,16 @@ def changed(events: DataFrame, value: str = "type") -> DataFrame:
 
 
 def numbered_sink(events: DataFrame, path: str, checkpoint: str, first: int = 1) -> StreamingQuery:
-    """Appends events with ids that go on from the last one. A batch that is written again gets the same
-    ids: the number after each batch stands in a small file of its own, and a batch starts from that of the one before."""
+    """Appends events with ids that go on from the last one, in order of time, job and type, nulls last. A batch
+    that is written again gets the same ids: the number after each batch stands in a small file of its own, and a
+    batch starts from that of the one before."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         schema = "epoch bigint, following bigint"
         known = spark.read.schema(schema).json(f"{path}/_following/epoch={epoch - 1}").first() if epoch else None
         start = known.following if known else first
-        order = ("timestamp", "job_id", "type")
+        order = [F.col(c).asc_nulls_last() for c in ("timestamp", "job_id", "type")]
         rows = batch.repartitionByRange(8, *order).withColumn("_p", F.spark_partition_id()).persist()  # sorted by ranges, counted by range
         try:
             counts = {r["_p"]: r["count"] for r in rows.groupBy("_p").count().collect()}
