@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import CJK, CYRILLIC, LATIN, col, collapsed, count_of, dominant_script, expected_expansion, let, numbers, removed_once, shared_prefix
+from ..functions.text import CJK, CYRILLIC, LATIN, col, collapsed, count_of, dominant_script, expected_expansion, let, numbers, removed_once, shared_prefix, two_decimals
 
 KINDS = ("empty", "untranslated", "length_ratio", "missing_numbers", "source_residue", "source_interference")
 #: Lengths below which a segment is too short to be compared, or to be called identical.
@@ -111,7 +111,7 @@ def scan(pairs: DataFrame, language: str | None = None) -> DataFrame:
     names = lambda c: F.array_join(F.slice(c, 1, EXAMPLES), ", ")
     kept = F.filter("carried", lambda w: ~F.array_contains(F.col("alone"), w) & (w == F.lower(w)))
     open_ = F.concat(
-        F.when(ratio_is_off(s, t), _defect("length_ratio", F.concat(F.lit("translation is "), F.format_string("%.2f", length_ratio(s, t)), F.lit("× the length of the original")))).otherwise(_none()),
+        F.when(ratio_is_off(s, t), _defect("length_ratio", F.concat(F.lit("translation is "), two_decimals(length_ratio(s, t)), F.lit("× the length of the original")))).otherwise(_none()),
         F.when(F.size("gone") > 0, _defect("missing_numbers", F.concat(F.lit("numbers missing from the translation: "), names(F.col("gone"))))).otherwise(_none()),
         F.when(F.size("alone") > 0, _defect("source_interference", F.concat(F.lit("source words left inside the translation: "), names(F.col("alone"))), F.col("alone"))).otherwise(_none()),
         F.when(F.size(kept) > 0, _defect("source_residue", F.concat(F.lit("untranslated source words: "), names(kept)))).otherwise(_none()),
